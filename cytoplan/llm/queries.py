@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_spans, mixing, near_dedup, piece_encoding, sharding
+from . import exact_spans, language_id, mixing, near_dedup, piece_encoding, sharding, toxicity
 from .common import documents
 
 
@@ -26,11 +26,19 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir)).select("doc_id", "slot", "shard")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = piece_encoding.encode_decode(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(documents(spark, sf_dir))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_spans.cut_repeats(documents(spark, sf_dir)).drop("kept")
 
