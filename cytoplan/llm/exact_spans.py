@@ -249,13 +249,11 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from close()
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(other columns, text, spans) becomes (other columns, n_bytes, n_removed, n_spans, kept_sha256, kept)."""
     for batch in batches:
-        spans = batch.column(2).to_pylist()
-        for lo, hi, data, offs in text_chunks(batch):
+        spans = batch.column(batch.num_columns - 1).to_pylist()
+        for lo, hi, data, offs in text_chunks(batch, "__text"):
             cols: list[list] = [[], [], [], [], []]
             for i in range(hi - lo):
                 text = data[offs[i] : offs[i + 1]]
@@ -273,7 +271,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for col, x in zip(cols, (int(offs[i + 1] - offs[i]), removed, runs, hashlib.sha256(rest).hexdigest(), rest), strict=True):
                     col.append(x)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            other = [batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 2)]
+            names = [*batch.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+            yield pa.RecordBatch.from_arrays([*other, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
@@ -291,8 +291,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return found.filter("kind = 0").select("doc", "a", "b").unionByName(small).unionByName(again)
 
 
-def cut_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) for each row of docs (doc_id, text).
+def cut_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) for each row of docs (doc_id, text).
 
     A byte goes if a 100-byte string that covers it also starts earlier: in a document of smaller doc_id, or before in the same one.
     Strings never cross documents and are judged on the input. Null texts are empty; a null doc_id comes after all others. Rows that
@@ -300,7 +300,18 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     ignored; empty tables give an empty result.
     """
     bounded_batches(docs)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = repeated_spans(texts).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    out = texts.join(spans, "doc", "left").select("doc", "text", "spans").mapInArrow(_cut, _RESULT)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    spans = repeated_spans(docs.select(order.alias("doc"), text.alias("text"))).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("__spans"))
+    rows = docs.select(order.alias("__doc"), *keep, text.alias("__text")).join(spans, F.col("__doc") == F.col("doc"), "left").select(*keep, "__text", "__spans")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
+    return rows.mapInArrow(_cut, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def strip_repeats(docs: DataFrame) -> DataFrame:
+    """docs with their repeats cut from text, and n_chars of what is left. Bytes of characters that were cut apart go as well."""
+    out = cut_repeats(docs, tuple(c for c in docs.columns if c not in ("text", "n_chars")))
+    # make_valid_utf8 marks what is no text any more: a continuation byte without its lead, or a lead without its continuations.
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    text = F.when(F.col("n_removed") > 0, F.replace(text, F.lit("\ufffd"), F.lit(""))).otherwise(text)
+    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
