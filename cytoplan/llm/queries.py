@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_spans, language_id, mixing, near_dedup, piece_encoding, sharding, toxicity
+from . import exact_spans, language_id, media, mixing, near_dedup, piece_encoding, quality, sharding, token_files, toxicity
 from .common import documents
 
 
@@ -22,6 +22,30 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, written = token_files.write_token_files(documents(spark, sf_dir), tokenizer("byte_bpe_50k.tiktoken"))
+    return written.join(token_files.count_tokens(spark, folder), ["file", "document"]).select("doc_id", "n_tokens")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.read(media.store(documents(spark, sf_dir)))
+    size = F.octet_length("payload")
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        size.cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir)).select("doc_id", "slot", "shard")
 
