@@ -1,15 +1,14 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document is its set of distinct five-word shingles. Each set gets T minwise tokens. A tree's node selects BRANCH of the token
-positions (as a hash of the node says); a document goes down to one child for each of them, named by the position and its token
-there. Similar sets meet in some leaf with near certainty over TREES independent trees, unlike ones part. Leaves are compared and
-every link is confirmed on the two full sets.
+A document is its set of distinct five-word shingles. Each set gets T minwise tokens. A tree's node selects token positions (as a
+hash of the node says: WIDTHS of them by level); a document goes down to one child for each, named by the position and its token
+there. Sets of similarity s share a child with chance s, so less similar sets part level by level, while over TREES independent
+trees a pair of similarity 0.85 misses all common leaves with a chance of 3 in a million.
 
 A leaf is never expanded into all its pairs. First each member is compared with the leaf's least document; when components of
 these links are known, only members of different components are still compared: exhaustively in small nodes, after more branching
-in large ones, most similar partners first. So a group of N near copies costs about N comparisons and keeps every component.
-
-Chance of missing one pair of similarity 0.85: it must part in all trees, below 1e-6 by the branching numbers here.
+in large ones, most similar partners first. Pairs whose tokens agree too little are left out, all others are confirmed on the two
+full sets. So a group of N near copies costs about N comparisons and keeps every component.
 """
 
 from __future__ import annotations
@@ -21,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, materialize, mix, shingles, span_hashes, text_chunks, word_bounds
+from .common import U64, bounded_batches, materialize, mix, shingles, span_hashes, text_chunks, word_bounds
 from .components import connected_components
 
-T, TREES, BRANCH = 48, 3, 3
-#: A node of up to so many sets is compared exhaustively; a larger one branches on, to this depth at most.
-SMALL, DEEPEST = 64, 6
-#: Least share of equal tokens of a pair worth confirming: five deviations below 0.85 for T tokens.
-LEAST_AGREE = 0.58
+T, TREES, WIDTHS = 128, 3, (3, 3, 1, 1, 1)
+#: A node of up to so many sets is compared exhaustively; a larger one branches on, two children a level, to this depth at most.
+SMALL, DEEPEST = 1024, 12
+#: Least share of equal tokens of a pair worth confirming: 4.5 deviations below 0.85 for T tokens.
+LEAST_AGREE = 0.708
 
 _RNG = np.random.default_rng(17)
 _XOR, _MUL = (_RNG.integers(1, 2**63, T, dtype=U64) for _ in range(2))
@@ -45,15 +44,20 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def paths(sig: np.ndarray) -> np.ndarray:
-    """The names of the leaves at depth two that each row of tokens reaches: TREES * BRANCH ** 2 of them."""
+    """The names of the leaves that each row of tokens reaches."""
     rows, wide, out = np.arange(len(sig)), sig.astype(U64), []
+
+    def down(node: np.ndarray, level: int) -> None:
+        if level == len(WIDTHS):
+            out.append(node)
+            return
+        for j in range(WIDTHS[level]):
+            # A level has T // depth positions of its own, so a path uses none twice.
+            at = level + len(WIDTHS) * (((mix(node ^ U64(level + 1)) >> U64(20)).astype(np.int64) + j * 7) % (T // len(WIDTHS)))
+            down(mix(node ^ ((at.astype(U64) << U64(16)) | wide[rows, at])), level + 1)
+
     for tree in range(TREES):
-        for i in ((tree * BRANCH + j) * (T // (TREES * BRANCH)) for j in range(BRANCH)):
-            node = mix(wide[:, i] + U64((tree * T + i + 1) << 20))
-            skip = (node % U64(T - 1)).astype(np.int64)
-            for j in range(BRANCH):
-                at = (i + 1 + (skip + j * (T // BRANCH - 1)) % (T - 1)) % T
-                out.append(mix(node ^ ((at.astype(U64) << U64(16)) | wide[rows, at])))
+        down(np.full(len(sig), (tree + 1) * 0x1000003, U64), 0)
     return np.stack(out, 1).view(np.int64)
 
 
@@ -123,63 +127,66 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
 
-def _node_pairs(ids: np.ndarray, comps: np.ndarray, sigs: np.ndarray, most: int, used: tuple[int, ...] = ()) -> Iterator[tuple[int, int]]:
+def _node_pairs(ids: np.ndarray, comps: np.ndarray, sigs: np.ndarray, most: int, used: tuple[int, ...] = ()) -> Iterator[np.ndarray]:
     """Pairs of one node's sets that lie in different components and may be similar; for each set the `most` likeliest (0: all)."""
     if len(ids) < 2 or (comps == comps[0]).all():
         return
     if len(ids) > SMALL and len(used) < DEEPEST:
         free = np.setdiff1d(np.arange(T), used)
         salt = mix(np.array([len(used) * 1_000_003 + 7], U64) ^ U64(int(np.sum(used)) + 1))[0]
-        chosen = free[np.argsort(mix(free.astype(U64) ^ salt))[:BRANCH]]
-        for c in chosen.tolist():
+        chosen = [c for c in free[np.argsort(mix(free.astype(U64) ^ salt))].tolist() if (sigs[:, c] != sigs[0, c]).any()][:2]
+        for c in chosen:
             order = np.argsort(sigs[:, c], kind="stable")
-            cuts = np.flatnonzero(np.diff(sigs[order, c])) + 1
-            if not len(cuts):  # this token parts nothing: the rest of the tree is a copy of the node
-                continue
-            for part in np.split(order, cuts):
+            for part in np.split(order, np.flatnonzero(np.diff(sigs[order, c])) + 1):
                 yield from _node_pairs(ids[part], comps[part], sigs[part], most, (*used, c))
-        if any(len(np.unique(sigs[:, c])) > 1 for c in chosen):
+        if len(chosen) == 2:
             return
-    size = {c: n for c, n in zip(*np.unique(comps, return_counts=True), strict=True)}
-    weight = np.array([size[c] for c in comps.tolist()])
-    for i in np.argsort(weight, kind="stable").tolist():  # each pair from the side of the smaller component
-        other = np.flatnonzero((comps != comps[i]) & ((weight > weight[i]) | ((weight == weight[i]) & (comps > comps[i]))))
-        if not len(other):
-            continue
-        agree = np.concatenate([(sigs[block] == sigs[i]).mean(1) for block in np.split(other, range(4096, len(other), 4096))])
-        good = np.flatnonzero(agree >= LEAST_AGREE)
-        if most and len(good) > most:
-            good = good[np.argsort(-agree[good], kind="stable")[:most]]
-        for j in other[good].tolist():
-            yield (int(ids[i]), int(ids[j])) if ids[i] < ids[j] else (int(ids[j]), int(ids[i]))
+    _, back, count = np.unique(comps, return_inverse=True, return_counts=True)
+    order = np.lexsort((comps, count[back]))  # small components first; a pair is taken from the side of its first
+    ids, comps, sigs = ids[order], comps[order], sigs[order]
+    least = int(np.ceil(LEAST_AGREE * T))
+    block = max(1, (4 << 20) // (len(ids) * T))
+    for lo in range(0, len(ids) - 1, block):
+        some = slice(lo, min(lo + block, len(ids)))
+        agree = np.count_nonzero(sigs[some, None, :] == sigs[None, lo:, :], axis=2)
+        agree[(comps[some, None] == comps[None, lo:]) | (np.arange(lo, len(ids))[None, :] <= np.arange(lo, some.stop)[:, None])] = 0
+        if most:
+            for r in np.flatnonzero((agree >= least).sum(1) > most).tolist():
+                agree[r, np.argsort(-agree[r], kind="stable")[most:]] = 0
+        i, j = np.nonzero(agree >= least)
+        if len(i):
+            yield np.stack([ids[lo + i], ids[lo + j]], 1)
 
 
 def _compare_nodes(most: int):
+    def pairs_of(rows: list[pa.RecordBatch]) -> list[np.ndarray]:
+        table = pa.Table.from_batches(rows)
+        ids, comps = (table[k].to_numpy() for k in ("rep", "comp"))
+        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, T)
+        return [np.sort(x, axis=1) for x in _node_pairs(ids, comps, sigs, most)]
+
+    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
+        x = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def close(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(rows)
-            ids, comps = (table[k].to_numpy() for k in ("rep", "comp"))
-            sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, T)
-            pairs = list(_node_pairs(ids, comps, sigs, most))
-            if pairs:
-                x = np.array(pairs, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
-
-        key = None
+        held, found, key = [], [], None
         for batch in batches:
             p = batch.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(p)) + 1).tolist(), len(p)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi > lo:
                     if held and p[lo] != key:
-                        yield from close(held)
+                        found += pairs_of(held)
                         held = []
                     key = p[lo]
                     held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from close(held)
+            if sum(map(len, found)) > 50_000:
+                yield packed(found)
+                found = []
+        found += pairs_of(held) if held else []
+        if found:
+            yield packed(found)
 
     return run
 
@@ -192,6 +199,7 @@ def near_duplicates(docs: DataFrame, rounds: tuple[int, ...] = (8, 0)) -> DataFr
     links reach and kept says that it is the row's own. A null doc_id is compared under no other document; its component is its
     set's least doc_id, or null. Empty tables give an empty result.
     """
+    bounded_batches(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = materialize(texts.mapInArrow(_describe, _SET_SCHEMA), "sets")
     first = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
@@ -201,11 +209,12 @@ def near_duplicates(docs: DataFrame, rounds: tuple[int, ...] = (8, 0)) -> DataFr
     star = nodes.join(pivots, "path").filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
     links = materialize(_links(star, texts), "links")
     comps = connected_components(links)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # much work for few bytes: not to be coalesced by size
     for most in rounds:
         known = nodes.join(comps, F.col("rep") == F.col("node"), "left").select("path", "rep", F.coalesce("component", "rep").alias("comp"))
         open_ = known.groupBy("path").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("path")
         rows = known.join(open_, "path").join(reps.select("rep", "sig"), "rep")
-        found = rows.select("path", "rep", "comp", "sig").repartition("path").sortWithinPartitions("path").mapInArrow(_compare_nodes(most), "a long, b long")
+        found = rows.select("path", "rep", "comp", "sig").repartition(tasks, "path").sortWithinPartitions("path").mapInArrow(_compare_nodes(most), "a long, b long")
         more = materialize(_links(found.distinct(), texts), "links")
         if more.isEmpty():
             if most == 0:
