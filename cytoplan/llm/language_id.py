@@ -49,9 +49,13 @@ def letter_tables() -> tuple[np.ndarray, np.ndarray]:
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     """Code points (folded), starts and ends of words, their 64-bit hashes, and the row of each word."""
     letter, lower = letter_tables()
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
-    lead = (data & 0xC0) != 0x80
-    at = np.concatenate(([0], np.cumsum(lead)))[offs]  # offsets in code points
+    try:
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offs]  # offsets in code points
+    except UnicodeDecodeError:  # damaged bytes become replacement marks, row by row
+        texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        at = np.cumsum([0, *map(len, texts)])
     inside = np.zeros(len(points) + 2, bool)
     inside[1:-1] = letter[points]
     points = lower[points]
@@ -78,9 +82,9 @@ def marked(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 
 def gram_hash(x: np.ndarray, length: int) -> np.ndarray:
     """A hash of each run of `length` symbols of x, by its first symbol's place."""
-    n = len(x) - length + 1
-    h = np.full(max(n, 0), length, U64)
-    for j in range(length):
+    n = max(len(x) - length + 1, 0)
+    h = np.full(n, length, U64)
+    for j in range(length if n else 0):
         h = mix(h * U64(0x9E3779B97F4A7C15) + x[j : j + n].astype(U64))
     return h
 
