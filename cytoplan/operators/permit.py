@@ -45,8 +45,9 @@ def _at_rank(hist: DataFrame, rank: int, by: tuple[str, ...]) -> DataFrame:
 
 
 def _at_least(hist: DataFrame, thresholds: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    joined = hist.join(thresholds, list(by)) if by else hist.crossJoin(F.broadcast(thresholds))  # one row
-    return joined.filter(F.col("n") >= F.col("threshold")).drop("threshold")
+    if not by:
+        return hist.filter(F.col("n") >= thresholds.select("threshold").scalar())
+    return hist.join(thresholds, list(by)).filter(F.col("n") >= F.col("threshold")).drop("threshold")
 
 
 def force_cells(hist: DataFrame, cells: int, by: tuple[str, ...] = ()) -> DataFrame:
