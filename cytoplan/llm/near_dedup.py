@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from .common import U64, bounded_batches, materialize, mix, shingles, span_hashes, text_chunks, word_bounds
 from .components import connected_components
 
-T, TREES, WIDTHS = 128, 3, (3, 3, 1, 1, 1)
+T, TREES, WIDTHS = 256, 3, (3, 3, 1, 1, 1)
 #: A node of up to so many sets is compared exhaustively; a larger one branches on, two children a level, to this depth at most.
 SMALL, DEEPEST = 1024, 12
 #: Least share of equal tokens of a pair worth confirming: 4.5 deviations below 0.85 for T tokens.
-LEAST_AGREE = 0.708
+LEAST_AGREE = 0.75
 
 _RNG = np.random.default_rng(17)
 _XOR, _MUL = (_RNG.integers(1, 2**63, T, dtype=U64) for _ in range(2))
@@ -35,7 +35,7 @@ _MUL = _MUL * U64(2) + U64(1)
 
 
 def minwise(sets: list[np.ndarray]) -> np.ndarray:
-    """The T minwise tokens of each non-empty set, 16 bits each."""
+    """The T minwise tokens of each non-empty set, 16 bits each; the low 8 bits are kept for comparing two sets."""
     flat, begin = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
     out = np.empty((len(sets), T), np.uint16)
     for t in range(T):
@@ -80,7 +80,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h[0, full], h[1, full] = (np.add.reduceat(mix(flat ^ U64(k)), begin) for k in (0x1234567, 0x89ABCDEF0))
                 tokens = minwise(held)
                 for i, s, p in zip(full.tolist(), tokens, paths(tokens), strict=True):
-                    sig[i], leaf[i] = s.tobytes(), p
+                    sig[i], leaf[i] = s.astype(np.uint8).tobytes(), p
             cols = [ids.slice(lo, hi - lo), sizes, h[0].view(np.int64), h[1].view(np.int64), pa.array(sig, pa.binary()), pa.array(leaf, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], ["doc_id", "n_shingles", "h1", "h2", "sig", "paths"])
 
@@ -162,7 +162,7 @@ def _compare_nodes(most: int):
     def pairs_of(rows: list[pa.RecordBatch]) -> list[np.ndarray]:
         table = pa.Table.from_batches(rows)
         ids, comps = (table[k].to_numpy() for k in ("rep", "comp"))
-        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, T)
+        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, T)
         return [np.sort(x, axis=1) for x in _node_pairs(ids, comps, sigs, most)]
 
     def packed(found: list[np.ndarray]) -> pa.RecordBatch:
