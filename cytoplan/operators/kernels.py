@@ -45,7 +45,7 @@ def by_cell(rows: DataFrame, kernel: Callable[[object, Rows], Iterator[tuple]],
 
 
 def _arrow(schema: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    kinds = {"array<double>": pa.list_(pa.float64()), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
     return pa.schema([(f.strip().split(" ")[0], kinds[f.strip().split(" ")[1]]) for f in schema.split(",")])
 
 
@@ -162,6 +162,62 @@ def parsimony(rows: Rows, gene_of: Callable[[int], int], exact: bool = False, la
     return dict(found), voted
 
 
+def likeliest_arborescence(v: int, free: set[int], out: list[list[int]], probs: list[dict[int, float]]) -> tuple[list[int], float, dict[int, float]]:
+    """Of the sets that v reaches by one of its references, the one of the highest mean probability, that mean, and every reference's mean.
+
+    A vertex counts with its own probability of the reference.
+    """
+    best: list[int] = []
+    top, means = 0.0, {}
+    for ref in sorted(probs[v]):
+        seen, order = {v}, [v]
+        for x in order:
+            for y in out[x]:
+                if y in free and y not in seen:
+                    seen.add(y)
+                    if ref in probs[y]:
+                        order.append(y)
+        means[ref] = sum(probs[x][ref] for x in order) / len(order)
+        if means[ref] > top:
+            best, top = order, means[ref]
+    return best or [v], top, means
+
+
+def weighted_parsimony(rows: Rows, gene_of: Callable[[int], int], exact: bool = False, large: int = 1000) -> dict[tuple[int, ...], tuple[int, list[float]]]:
+    """Molecules by gene label with the mean probability of each of its genes, of one cell's rows (label, umi, n, probs).
+
+    As parsimony(), but a molecule is the arborescence of the highest mean probability. probs are the mean probabilities of the label's
+    references over the molecule's reads; a gene's probability is the sum of its references'.
+    """
+    rows = sorted(rows, key=lambda r: (r["label"], r["umi"]))
+    labels, umis, counts = [tuple(r["label"]) for r in rows], [r["umi"] for r in rows], [r["n"] for r in rows]
+    probs = [dict(zip(r["label"], r["probs"], strict=True)) for r in rows]
+    out = molecule_graph(labels, umis, counts, exact)
+    found: dict[tuple[int, ...], list[dict[int, float]]] = defaultdict(list)
+
+    def add(means: dict[int, float]) -> None:
+        genes: dict[int, float] = defaultdict(float)
+        for ref, p in means.items():
+            genes[gene_of(ref)] += p
+        found[tuple(sorted(genes))].append({g: 1.0 for g in genes} if len(genes) == 1 else genes)
+
+    for part in weak_components(out):
+        if len(part) == 1:
+            add(probs[part[0]])
+        elif large and len(part) > large:
+            for label in vote_winners([(umis[v], tuple(sorted({gene_of(t) for t in labels[v]})), counts[v]) for v in part]):
+                found[label].append({g: 1.0 / len(label) for g in label})
+        else:
+            free = set(part)
+            while free:
+                picks = [likeliest_arborescence(v, free, out, probs) for v in sorted(free)]
+                arb, _, means = max(picks, key=lambda x: x[1])
+                shared = set(labels[arb[0]]).intersection(*(labels[v] for v in arb[1:]))
+                add({t: p for t, p in means.items() if t in shared})
+                free -= set(arb)
+    return {label: (len(x), [sum(y[g] for y in x) / len(x) for g in label]) for label, x in found.items()}
+
+
 # ---- expectation maximisation ----
 
 

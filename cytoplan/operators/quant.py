@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import resolve
-from .kernels import Rows, bootstrap, by_cell, expectation_maximisation, parsimony
+from .kernels import Rows, bootstrap, by_cell, expectation_maximisation, parsimony, weighted_parsimony
 
 RESOLUTIONS = ("trivial", "cr-like", "cr-like-em", "parsimony", "parsimony-em", "parsimony-gene", "parsimony-gene-em")
 
@@ -59,6 +59,24 @@ def abundances(classes: DataFrame, init: str = "informative", axis: int | None =
     return by_cell(classes.select("cell", "label", "n"), kernel, "cell long, gid long, n double")
 
 
+def long_read_counts(reads: DataFrame, transcripts_per_gene: int = 1, exact: bool = False, large: int = 1000) -> DataFrame:
+    """cell, gid, n of long reads (cell, umi, label, probs): weighted cover, then expectation maximisation with mean probabilities.
+
+    A molecule's probabilities are the means over its reads, by place in the label.
+    """
+    one = reads.select("cell", "label", "umi", F.posexplode("probs").alias("i", "p"))
+    mean = one.groupBy("cell", "label", "umi", "i").agg(F.avg("p").alias("p"), F.count("*").alias("n"))
+    molecules = mean.groupBy("cell", "label", "umi").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]).alias("probs"))
+
+    def kernel(cell: object, rows: Rows) -> Iterator[tuple]:
+        found = sorted(weighted_parsimony(rows, lambda t: t // transcripts_per_gene, exact, large).items())
+        n = expectation_maximisation([(label, k) for label, (k, _) in found], probs=[p for _, (_, p) in found])
+        for gid, x in sorted(n.items()):
+            yield cell, gid, x
+
+    return by_cell(molecules, kernel, "cell long, gid long, n double")
+
+
 def replicates(classes: DataFrame, count: int) -> DataFrame:
     """cell, replicate, gid, n: bootstrap abundances, seeded by the cell."""
 

@@ -490,6 +490,13 @@ def u16_alignment_probabilities(spark, d):
     return li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), p.alias("p")).select("id", "line", F.round(F.col("p")[0], 6).alias("p1"), F.round(F.col("p")[1], 6).alias("p2"))
 
 
+@query()
+def u15_long_reads(spark, d):
+    r = tables.graph_reads(spark, d).withColumn("s", F.transform("label", lambda t: ((t * 7 + F.col("umi")) % 50).cast("int")))
+    p = quant.alignment_probabilities(F.col("s"), F.transform("label", lambda t: (t * 13 + 800).cast("int")), F.transform("label", lambda t: F.lit(1200)))
+    return quant.long_read_counts(r.withColumn("probs", p)).withColumn("n", F.round("n", 4))
+
+
 @query(f"""WITH {base.SQL_LABELLED}, {base.SQL_VOTES}, c AS (SELECT cell, label[1] AS gid, count(*)::DOUBLE AS n FROM won WHERE len(label) = 1 GROUP BY ALL),
 m AS (SELECT cell, count(*) AS mapped_reads FROM lab GROUP BY cell), u AS (SELECT cell, count(*) AS k FROM reads WHERE NOT fw GROUP BY cell),
 p AS (SELECT cell, sum(n) AS deduplicated_reads, max(n) AS top, count(*) AS num_genes_expressed, avg(n) AS mean FROM c GROUP BY cell),

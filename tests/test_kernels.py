@@ -94,3 +94,19 @@ def test_small_cells_take_the_vote_path(spark):
     reads = spark.createDataFrame([(c, u, [u % 10, (u + 1) % 10]) for c in range(4) for u in range(8)], "cell long, umi long, label array<long>")
     mass = lambda t: quant.quantify(reads, "parsimony-em", t).agg(F.sum("n")).first()[0] or 0
     assert mass(100) == 0 and mass(0) > 0
+
+
+def test_weighted_parsimony():
+    rows = [{"label": [0, 1], "umi": 0, "n": 4, "probs": [0.9, 0.1]}, {"label": [0], "umi": 1, "n": 1, "probs": [1.0]}, {"label": [1, 2], "umi": 2, "n": 1, "probs": [0.2, 0.8]}]
+    found = kernels.weighted_parsimony(rows, lambda t: t)
+    # The single read of certain origin is the likeliest set, so it does not join the larger one that points to it.
+    assert sum(n for n, _ in found.values()) == 3 and found[(0,)] == (1, [1.0]) and found[(0, 1)][1] == pytest.approx([0.9, 0.15])
+    assert found[(1, 2)][0] == 1 and found[(1, 2)][1] == pytest.approx([0.2, 0.8])
+    assert kernels.weighted_parsimony(rows[2:], lambda t: 0) == {(0,): (1, [1.0])}
+    assert sum(n for n, _ in kernels.weighted_parsimony(rows, lambda t: t, large=1).values()) == 3
+
+
+def test_long_read_counts(spark):
+    rows = [(0, 5, [3, 4], [0.9, 0.1]), (0, 5, [3, 4], [0.7, 0.3]), (0, 60, [3], [1.0]), (1, 9, [8, 9], [0.5, 0.5])]
+    out = {(r.cell, r.gid): r.n for r in quant.long_read_counts(spark.createDataFrame(rows, "cell long, umi long, label array<long>, probs array<double>")).collect()}
+    assert out[0, 3] > 1.7 and out[1, 8] == pytest.approx(0.5, abs=0.02)
