@@ -24,8 +24,9 @@ from .common import U64, bounded_batches, materialize, mix, shingles, span_hashe
 from .components import connected_components
 
 T, TREES, WIDTHS = 256, 3, (3, 3, 1, 1, 1)
-#: A node of up to so many sets is compared exhaustively; a larger one branches on, two children a level, to this depth at most.
-SMALL, DEEPEST = 1024, 12
+#: A node of up to so many sets is compared exhaustively; a larger one branches on, by CHILDREN tokens a level, while that saves
+#: comparisons and to this depth at most.
+SMALL, CHILDREN, DEEPEST = 2048, 3, 12
 #: Least share of equal tokens of a pair worth confirming: 4.5 deviations below 0.85 for T tokens.
 LEAST_AGREE = 0.75
 
@@ -61,7 +62,7 @@ def paths(sig: np.ndarray) -> np.ndarray:
     return np.stack(out, 1).view(np.int64)
 
 
-_SET_SCHEMA = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, paths array<long>"
+_SET_SCHEMA = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, marks binary, paths array<long>"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,16 +74,16 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.array(list(map(len, sets)), np.int64)
             full = np.flatnonzero(sizes)
             h = np.zeros((2, hi - lo), U64)
-            sig, leaf = [None] * (hi - lo), [None] * (hi - lo)
+            sig, marks, leaf = [None] * (hi - lo), [None] * (hi - lo), [None] * (hi - lo)
             if len(full):
                 held = [sets[i] for i in full]
                 flat, begin = np.concatenate(held), np.cumsum([0, *sizes[full][:-1]])
                 h[0, full], h[1, full] = (np.add.reduceat(mix(flat ^ U64(k)), begin) for k in (0x1234567, 0x89ABCDEF0))
                 tokens = minwise(held)
                 for i, s, p in zip(full.tolist(), tokens, paths(tokens), strict=True):
-                    sig[i], leaf[i] = s.astype(np.uint8).tobytes(), p
-            cols = [ids.slice(lo, hi - lo), sizes, h[0].view(np.int64), h[1].view(np.int64), pa.array(sig, pa.binary()), pa.array(leaf, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], ["doc_id", "n_shingles", "h1", "h2", "sig", "paths"])
+                    sig[i], marks[i], leaf[i] = s.astype(np.uint8).tobytes(), p.astype(np.uint32).tobytes(), p
+            cols = [ids.slice(lo, hi - lo), sizes, h[0].view(np.int64), h[1].view(np.int64), pa.array(sig, pa.binary()), pa.array(marks, pa.binary()), pa.array(leaf, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], ["doc_id", "n_shingles", "h1", "h2", "sig", "marks", "paths"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,43 +128,58 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
 
-def _node_pairs(ids: np.ndarray, comps: np.ndarray, sigs: np.ndarray, most: int, used: tuple[int, ...] = ()) -> Iterator[np.ndarray]:
-    """Pairs of one node's sets that lie in different components and may be similar; for each set the `most` likeliest (0: all)."""
-    if len(ids) < 2 or (comps == comps[0]).all():
+def _node_pairs(comps: np.ndarray, sigs: np.ndarray, most: int, leaf: int = 0, rows: np.ndarray | None = None, used: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of a node's sets that lie in different components and may be similar; for each set the `most` likeliest (0: all)."""
+    rows = np.arange(len(comps)) if rows is None else rows
+    own = comps[rows]
+    if len(rows) < 2 or (own == own[0]).all():
         return
-    if len(ids) > SMALL and len(used) < DEEPEST:
+    if len(rows) > SMALL and len(used) < DEEPEST:
         free = np.setdiff1d(np.arange(T), used)
-        salt = mix(np.array([len(used) * 1_000_003 + 7], U64) ^ U64(int(np.sum(used)) + 1))[0]
-        chosen = [c for c in free[np.argsort(mix(free.astype(U64) ^ salt))].tolist() if (sigs[:, c] != sigs[0, c]).any()][:2]
+        salt = mix(np.array([leaf + len(used) * 1_000_003], U64) ^ U64(int(np.sum(used)) + 1))[0]
+        chosen = [c for c in free[np.argsort(mix(free.astype(U64) ^ salt))].tolist() if (sigs[rows, c] != sigs[rows[0], c]).any()][:CHILDREN]
+        parts = []
         for c in chosen:
-            order = np.argsort(sigs[:, c], kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(sigs[order, c])) + 1):
-                yield from _node_pairs(ids[part], comps[part], sigs[part], most, (*used, c))
-        if len(chosen) == 2:
+            order = rows[np.argsort(sigs[rows, c], kind="stable")]
+            parts += [(c, part) for part in np.split(order, np.flatnonzero(np.diff(sigs[order, c].astype(np.int16))) + 1)]
+        if len(chosen) == CHILDREN and sum(len(part) ** 2 for _, part in parts) < len(rows) ** 2:
+            for c, part in parts:
+                yield from _node_pairs(comps, sigs, most, leaf, part, (*used, c))
             return
-    _, back, count = np.unique(comps, return_inverse=True, return_counts=True)
-    order = np.lexsort((comps, count[back]))  # small components first; a pair is taken from the side of its first
-    ids, comps, sigs = ids[order], comps[order], sigs[order]
+    _, back, count = np.unique(own, return_inverse=True, return_counts=True)
+    rows = rows[np.lexsort((own, count[back]))]  # small components first; a pair is taken from the side of its first
+    own, mine = comps[rows], sigs[rows]
     least = int(np.ceil(LEAST_AGREE * T))
-    block = max(1, (4 << 20) // (len(ids) * T))
-    for lo in range(0, len(ids) - 1, block):
-        some = slice(lo, min(lo + block, len(ids)))
-        agree = np.count_nonzero(sigs[some, None, :] == sigs[None, lo:, :], axis=2)
-        agree[(comps[some, None] == comps[None, lo:]) | (np.arange(lo, len(ids))[None, :] <= np.arange(lo, some.stop)[:, None])] = 0
+    block = max(1, (4 << 20) // (len(rows) * T))
+    for lo in range(0, len(rows) - int(count.max()), block):  # members of the largest component, the last ones, need no partners among themselves
+        some = slice(lo, min(lo + block, len(rows)))
+        agree = np.count_nonzero(mine[some, None, :] == mine[None, lo:, :], axis=2)
+        agree[(own[some, None] == own[None, lo:]) | (np.arange(lo, len(rows))[None, :] <= np.arange(lo, some.stop)[:, None])] = 0
         if most:
             for r in np.flatnonzero((agree >= least).sum(1) > most).tolist():
                 agree[r, np.argsort(-agree[r], kind="stable")[most:]] = 0
         i, j = np.nonzero(agree >= least)
         if len(i):
-            yield np.stack([ids[lo + i], ids[lo + j]], 1)
+            yield rows[lo + i], rows[lo + j]
 
 
 def _compare_nodes(most: int):
-    def pairs_of(rows: list[pa.RecordBatch]) -> list[np.ndarray]:
-        table = pa.Table.from_batches(rows)
+    def pairs_of(batches: list[pa.RecordBatch]) -> list[np.ndarray]:
+        """A pair that shares several leaves is taken in the first of them, as the marks of both its sets' leaves tell.
+
+        A leaf that branches on may miss a pair now and then, so it gives all it finds.
+        """
+        table = pa.Table.from_batches(batches)
+        leaf = table["path"][0].as_py() & 0xFFFFFFFF
         ids, comps = (table[k].to_numpy() for k in ("rep", "comp"))
         sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, T)
-        return [np.sort(x, axis=1) for x in _node_pairs(ids, comps, sigs, most)]
+        marks = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint32).reshape(len(ids), -1)
+        out = []
+        for i, j in _node_pairs(comps, sigs, most, leaf):
+            first = (marks[i] == marks[j]).argmax(1)
+            here = (marks[i, first] == leaf) | (len(ids) > SMALL)
+            out.append(np.sort(np.stack([ids[i[here]], ids[j[here]]], 1), axis=1))
+        return out
 
     def packed(found: list[np.ndarray]) -> pa.RecordBatch:
         x = np.unique(np.concatenate(found), axis=0)
@@ -203,7 +219,7 @@ def near_duplicates(docs: DataFrame, rounds: tuple[int, ...] = (8, 0)) -> DataFr
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = materialize(texts.mapInArrow(_describe, _SET_SCHEMA), "sets")
     first = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = materialize(sets.join(first, ["h1", "h2"]).filter("doc_id = rep").dropDuplicates(["h1", "h2"]).select("rep", "sig", "paths"), "reps")
+    reps = materialize(sets.join(first, ["h1", "h2"]).filter("doc_id = rep").dropDuplicates(["h1", "h2"]).select("rep", "sig", "marks", "paths"), "reps")
     nodes = reps.select("rep", F.explode("paths").alias("path"))
     pivots = nodes.groupBy("path").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("path", "a")
     star = nodes.join(pivots, "path").filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
@@ -213,8 +229,8 @@ def near_duplicates(docs: DataFrame, rounds: tuple[int, ...] = (8, 0)) -> DataFr
     for most in rounds:
         known = nodes.join(comps, F.col("rep") == F.col("node"), "left").select("path", "rep", F.coalesce("component", "rep").alias("comp"))
         open_ = known.groupBy("path").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("path")
-        rows = known.join(open_, "path").join(reps.select("rep", "sig"), "rep")
-        found = rows.select("path", "rep", "comp", "sig").repartition(tasks, "path").sortWithinPartitions("path").mapInArrow(_compare_nodes(most), "a long, b long")
+        rows = known.join(open_, "path").join(reps.select("rep", "sig", "marks"), "rep")
+        found = rows.select("path", "rep", "comp", "sig", "marks").repartition(tasks, "path").sortWithinPartitions("path").mapInArrow(_compare_nodes(most), "a long, b long")
         more = materialize(_links(found.distinct(), texts), "links")
         if more.isEmpty():
             if most == 0:
@@ -233,3 +249,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
     lone = docs.filter("doc_id is null")
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(lone)
+
+
+#: The same rows in DuckDB's SQL: a join of all shingles, and a walk along the links.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, unnest(s) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * k >= 85 * (len(sa.s) + len(sb.s) - k)),
+both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)
+"""
\ No newline at end of file
