@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,12 @@ def bounded_batches(df: DataFrame, rows: int = 1000) -> None:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def aside(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its other columns renamed out of the way of an operator's own, and what gives names and order back."""
+    names = {c: f"__aside{i}" for i, c in enumerate(docs.columns) if c not in used}
+    return docs.withColumnsRenamed(names), lambda out: out.select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LETTERS, U64, bounded_batches, materialize, mix, power_table, text_chunks
+from .common import _LETTERS, U64, aside, bounded_batches, materialize, mix, power_table, text_chunks
 from .suffix_array import adjacent_common, suffix_array
 
 WINDOW, GRAM = 100, 32
@@ -310,8 +310,22 @@ def cut_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFra
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """docs with their repeats cut from text, and n_chars of what is left. Bytes of characters that were cut apart go as well."""
-    out = cut_repeats(docs, tuple(c for c in docs.columns if c not in ("text", "n_chars")))
+    rows, back = aside(docs, ("doc_id", "text", "n_chars"))
+    out = cut_repeats(rows, tuple(c for c in rows.columns if c not in ("text", "n_chars")))
     # make_valid_utf8 marks what is no text any more: a continuation byte without its lead, or a lead without its continuations.
     text = F.make_valid_utf8(F.col("kept").cast("string"))
     text = F.when(F.col("n_removed") > 0, F.replace(text, F.lit("\ufffd"), F.lit(""))).otherwise(text)
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return back(out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")))
+
+
+#: The digest in DuckDB's SQL: every window of every text, as hexadecimal digits.
+ORACLE_SQL = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, unnest(range(n)) AS i FROM h),
+b AS (SELECT p.doc_id, p.i, substr(h.x, 2 * p.i + 1, 2) AS byte, CASE WHEN p.i + 100 <= h.n THEN substr(h.x, 2 * p.i + 1, 200) END AS win FROM p JOIN h USING (doc_id)),
+f AS (SELECT doc_id, i, byte, CASE WHEN win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 THEN i END AS again FROM b),
+m AS (SELECT doc_id, i, byte, coalesce(i - max(again) OVER (PARTITION BY doc_id ORDER BY i) < 100, false) AS gone FROM f),
+e AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS opens FROM m),
+r AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM e GROUP BY doc_id)
+SELECT h.doc_id, h.n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM h LEFT JOIN r USING (doc_id)
+"""
\ No newline at end of file

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import aside
+
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: A document's draw is this many bits of a digest of its id and the seed, so reruns and other engines draw alike.
 DRAW_DIGITS = 12
@@ -68,8 +70,8 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 def emit(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself: each row of docs as often as it has copies, with the columns of docs."""
-    mixed = mix(docs, seed).filter("copies > 0")
-    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+    rows, back = aside(docs, ("doc_id", "text", "source"))
+    return back(mix(rows, seed).filter("copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))))
 
 
 def oracle_sql(table: str = "documents", seed: str = "mix") -> str:

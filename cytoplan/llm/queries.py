@@ -77,4 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_sharding": sharding.oracle_sql(), "op10_mixing": mixing.oracle_sql()}
+    return {
+        "op1_minhash_near_dedup": near_dedup.ORACLE_SQL,
+        "op5_sharding": sharding.oracle_sql(),
+        "op9_suffix_array_dedup": exact_spans.ORACLE_SQL,
+        "op10_mixing": mixing.oracle_sql(),
+    }

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, mod3, span_hashes, text_chunks
+from .common import U64, aside, bounded_batches, mod3, span_hashes, text_chunks
 
 BUCKETS, FACTORS = 1 << 18, 4
 #: The sample's bound: labelled rows of each label, taken by a hash of their ids.
@@ -169,5 +169,5 @@ def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that are not predicted toxic."""
-    out = score(docs, train(docs, labels), tuple(docs.columns))
-    return out.filter(F.col("score") < THRESHOLD).drop("score")
+    rows, back = aside(docs, ("doc_id", "text"))
+    return back(score(rows, train(docs, labels), tuple(rows.columns)).filter(F.col("score") < THRESHOLD))
