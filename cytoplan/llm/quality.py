@@ -24,6 +24,8 @@ VECTOR = {"x0": 0.5, "x1": 0.12, "x2": 0.42, "x3": 0.6, "x4": 0.06}
 #: Squared distance from which a document is rejected; for five normal statistics the chance is about 1e-5.
 CUTOFF = 30.0
 WIDTH = 5
+#: Parts of a group's rows in joins with the group's few estimates: a group may hold a third of all rows.
+SALTS = 32
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -101,6 +103,13 @@ def _vector(s: DataFrame) -> DataFrame:
     })
 
 
+def _with(s: DataFrame, per_group: DataFrame, key: str = "g") -> DataFrame:
+    """s joined with its groups' values. The rows of a group are dealt out by a salt; its one row of values is repeated for each."""
+    salted = s.withColumn("__salt", F.pmod(F.xxhash64(*s.columns), F.lit(SALTS).cast("long")))
+    values = per_group.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(values, [key, "__salt"]).drop("__salt")
+
+
 def _grouped(s: DataFrame) -> DataFrame:
     """Adds g, the group of each row, from counts by language and source; nulls are values of their own."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
@@ -108,7 +117,7 @@ def _grouped(s: DataFrame) -> DataFrame:
     by_group = s.groupBy("__l", "__g").agg(F.count("*").alias("n"))
     by_lang = by_group.filter(F.col("n") < LEAST_GROUP).groupBy("__l").agg(F.sum("n").alias("m"))
     of = by_group.join(by_lang, "__l", "left").select("__g", F.when(F.col("n") >= LEAST_GROUP, F.col("__g")).when(F.col("m") >= LEAST_GROUP, F.col("__l")).otherwise(F.lit("*")).alias("g"))
-    return s.join(of, "__g").drop("__l", "__g")
+    return _with(s, of, "__g").drop("__l", "__g")
 
 
 def _moments(near: DataFrame) -> DataFrame:
@@ -129,7 +138,7 @@ def _moments(near: DataFrame) -> DataFrame:
 def _distances(s: DataFrame, estimates: DataFrame) -> DataFrame:
     """Adds d, the squared distance of each row from its group's estimate."""
     p = len(VECTOR)
-    out = s.join(estimates, "g")
+    out = _with(s, estimates)
     for i, c in enumerate(VECTOR):
         rest = F.col(c) - F.col(f"m{i}")
         for j in range(i):
@@ -143,15 +152,15 @@ def outliers(s: DataFrame) -> DataFrame:
     """Adds d, the squared robust distance (null in pools too small for a verdict), to a table with g and the vector."""
     # A first distance without correlations, from medians and absolute deviations.
     mid = s.groupBy("g").agg(F.count("*").alias("__n"), *(F.percentile_approx(c, 0.5, 1000).alias(f"__m_{c}") for c in VECTOR))
-    off = s.join(mid, "g").select(*s.columns, "__n", *(F.abs(F.col(c) - F.col(f"__m_{c}")).alias(f"__a_{c}") for c in VECTOR))
+    off = _with(s, mid).select(*s.columns, "__n", *(F.abs(F.col(c) - F.col(f"__m_{c}")).alias(f"__a_{c}") for c in VECTOR))
     mad = off.groupBy("g").agg(*(F.percentile_approx(f"__a_{c}", 0.5, 1000).alias(f"__s_{c}") for c in VECTOR))
     first = sum(((F.col(f"__a_{c}") / F.greatest(1.4826 * F.col(f"__s_{c}"), F.lit(low))) ** 2 for c, low in VECTOR.items()), F.lit(0.0))
-    now = off.join(mad, "g").withColumn("d", first).select(*s.columns, "d")
+    now = _with(off, mad).withColumn("d", first).select(*s.columns, "d")
     for _ in range(STEPS):
         edge = now.groupBy("g").agg(F.percentile_approx("d", H, 1000).alias("__edge"))
-        estimates = materialize(_moments(now.join(edge, "g").filter("d <= __edge")), "mcd")
+        estimates = materialize(_moments(_with(now, edge).filter("d <= __edge")), "mcd")
         now = _distances(s, estimates)
-    return now.join(mid.select("g", "__n"), "g").withColumn("d", F.when(F.col("__n") >= LEAST_POOL, F.col("d"))).drop("__n")
+    return _with(now, mid.select("g", "__n")).withColumn("d", F.when(F.col("__n") >= LEAST_POOL, F.col("d"))).drop("__n")
 
 
 def judge(docs: DataFrame) -> DataFrame:
