@@ -126,4 +126,6 @@ def graph_edges(molecules: DataFrame, umi_length: int, exact: bool = False) -> D
     dst = one.select("cell", "ref", F.col("node").alias("dst"), F.col("n").alias("nd"), F.col("umi").alias("key"))
     near = src.join(dst, ["cell", "ref", "key"]).filter(F.col("src") != F.col("dst"))
     points = (F.col("src.umi") == F.col("dst.umi")) | ~(F.col("nd") > 2 * F.col("ns") - 1) | (F.col("ns") > 2 * F.col("nd") - 1)
-    return near.filter(points).select("cell", "src", "dst").distinct()
+    # A pair that shares several references is taken at the least of them, which spares a shuffle for distinct pairs.
+    once = F.array_min(F.array_intersect("src.label", "dst.label")) == F.col("ref")
+    return near.filter(points & once).select("cell", "src", "dst")
