@@ -88,26 +88,26 @@ def fit(rows: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, rounds: int =
     if not len(chosen):
         return Machine(bias, index, np.zeros(1), np.zeros((1, FACTORS)))
     index[chosen] = np.arange(len(chosen))
-    x = np.zeros((n, len(chosen)), np.float32)
     at = index[buckets]
-    x[rows[at >= 0], at[at >= 0]] = 1
-    y = toxic.astype(np.float32)
+    r, t = rows[at >= 0], at[at >= 0].astype(np.int64)  # the terms present, few for each row
+    y = toxic.astype(float)
     rng = np.random.default_rng(seed)
-    p = [np.array([bias], np.float32), np.zeros(len(chosen), np.float32), rng.normal(0, 0.05, (len(chosen), FACTORS)).astype(np.float32)]
+    p = [np.array([bias]), np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), FACTORS))]
     m, s = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     decay = (0.0, 2e-4, 2e-3)
     for step in range(1, rounds + 1):
-        xv = x @ p[2]
-        total = p[0] + x @ p[1] + 0.5 * ((xv**2).sum(1) - x @ (p[2] ** 2).sum(1))
+        sums = [np.bincount(r, p[2][t, f], n) for f in range(FACTORS)]
+        total = p[0] + np.bincount(r, p[1][t], n) + 0.5 * (sum(v * v for v in sums) - np.bincount(r, (p[2] ** 2).sum(1)[t], n))
         miss = (1 / (1 + np.exp(-np.clip(total, -30, 30))) - y) / n
-        back = x.T @ miss
-        grads = [miss.sum(keepdims=True), back, x.T @ (miss[:, None] * xv) - back[:, None] * p[2]]
+        back = np.bincount(t, miss[r], len(chosen))
+        pairs = np.stack([np.bincount(t, (miss * v)[r], len(chosen)) for v in sums], 1)
+        grads = [miss.sum(keepdims=True), back, pairs - back[:, None] * p[2]]
         for i in range(3):
             g = grads[i] + decay[i] * p[i] * (1 / np.sqrt(n))
             m[i] = 0.9 * m[i] + 0.1 * g
             s[i] = 0.999 * s[i] + 0.001 * g * g
             p[i] = p[i] - 0.05 * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.999**step)) + 1e-8)
-    return Machine(float(p[0][0]), index, p[1].astype(np.float64), p[2].astype(np.float64))
+    return Machine(float(p[0][0]), index, p[1], p[2])
 
 
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

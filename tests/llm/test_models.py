@@ -3,9 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from cytoplan.llm import language_id, quality, toxicity
 
@@ -147,4 +145,3 @@ def test_bytes_that_are_no_text(bad):
     data = np.frombuffer(bad + b"good", np.uint8)
     points, start, end, key, row = language_id.words(data, np.array([0, len(bad), len(data)]))
     assert len(start) == len(end) == len(key) == len(row) and set(row.tolist()) <= {0, 1}
-    assert pa is not None and F is not None
