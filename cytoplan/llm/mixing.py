@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import aside
+from .common import aside, materialize
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: A document's draw is this many bits of a digest of its id and the seed, so reruns and other engines draw alike.
@@ -60,7 +60,8 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     sized = docs.drop("size", "source_size", "target", "rate", "copies").withColumn("size", word_count(F.col("text")))
     # The sum per source needs the sizes alone; the partial sums leave one row for each source and task.
     by_source = docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = targets(by_source).select(F.col("source").alias("__source"), "source_size", "target")
+    # Written first, so its size is known: a small table is broadcast and the texts stay where they are, a large one is joined by key.
+    t = materialize(targets(by_source), "targets").select(F.col("source").alias("__source"), "source_size", "target")
     out = sized.join(t, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor("rate")
