@@ -27,8 +27,8 @@ T, TREES, WIDTHS = 256, 3, (3, 3, 1, 1, 1)
 #: A node of up to so many sets is compared exhaustively; a larger one branches on, by CHILDREN tokens a level, while that saves
 #: comparisons and to this depth at most.
 SMALL, CHILDREN, DEEPEST = 2048, 3, 12
-#: Least share of equal tokens of a pair worth confirming: 4.5 deviations below 0.85 for T tokens.
-LEAST_AGREE = 0.75
+#: Least share of equal tokens of a pair worth confirming: 3.8 deviations below 0.85 for T tokens.
+LEAST_AGREE = 0.765
 
 _RNG = np.random.default_rng(17)
 _XOR, _MUL = (_RNG.integers(1, 2**63, T, dtype=U64) for _ in range(2))
