@@ -281,7 +281,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     rows = texts.mapInArrow(_anchor_rows, _ROW).repartition("h").sortWithinPartitions("h", "c", "doc", "pack")
     found = materialize(rows.mapInArrow(_compare_contexts, _FOUND), "contexts")
     open_ = found.filter("kind = 1")
-    hot = open_.groupBy("h").count().filter(F.col("count") > HOT_CONTEXTS).select("h", F.lit(True).alias("hot"))
+    # Written first: its size is known, and AQE can split a hot gram's rows in the join.
+    hot = materialize(open_.groupBy("h").count().filter(F.col("count") > HOT_CONTEXTS).select("h", F.lit(True).alias("hot")), "hot")
     asked = open_.join(hot, "h", "left").groupBy("doc").agg(F.collect_list(F.struct("h", "a", "b", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
     parts = materialize(texts.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_slice_contexts, "h long, doc long, a long, w long, part binary"), "parts")
     small = parts.filter("part is not null").repartition("h").sortWithinPartitions("h").mapInArrow(_sort_suffixes, "doc long, a long, b long")
