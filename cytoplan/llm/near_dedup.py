@@ -2,8 +2,9 @@
 
 A document is its set of distinct five-word shingles. Each set gets T minwise tokens. A tree's node selects token positions (as a
 hash of the node says: WIDTHS of them by level); a document goes down to one child for each, named by the position and its token
-there. Sets of similarity s share a child with chance s, so less similar sets part level by level, while over TREES independent
-trees a pair of similarity 0.85 misses all common leaves with a chance of 3 in a million.
+there. Sets of similarity s share a child with chance s, so less similar sets part level by level, while over as many independent
+trees as the threshold takes (three at 0.85, four at 0.8) a pair at the threshold misses all common leaves with a chance of at most
+6 in a million.
 
 A leaf is never expanded into all its pairs. First each member is compared with the leaf's least document; when components of
 these links are known, only members of different components are still compared: exhaustively in small nodes, after more branching
@@ -13,7 +14,10 @@ full sets. So a group of N near copies costs about N comparisons and keeps every
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,44 @@ T, TREES, WIDTHS = 256, 3, (3, 3, 1, 1, 1)
 #: A node of up to so many sets is compared exhaustively; a larger one branches on, by CHILDREN tokens a level, while that saves
 #: comparisons and to this depth at most.
 SMALL, CHILDREN, DEEPEST = 2048, 3, 12
-#: Least share of equal tokens of a pair worth confirming: 3.8 deviations below 0.85 for T tokens.
-LEAST_AGREE = 0.765
+#: Greatest chance that a pair at the threshold shares no leaf, and that it is lost where a large node branches on.
+LEAF_LOSS, BRANCH_LOSS = 6e-6, 0.004
+#: A pair is worth confirming from so many deviations of its share of equal tokens below the threshold.
+DEVIATIONS = 3.8
+
+
+@dataclass(frozen=True)
+class Threshold:
+    """What a similarity threshold takes: trees, children a level of a large node, and the least number of equal tokens."""
+
+    least: Fraction
+    trees: int = TREES
+    children: int = CHILDREN
+    agree: int = 0
+
+    @staticmethod
+    def of(similarity: float | Fraction) -> Threshold:
+        least = Fraction(similarity).limit_denominator(10_000)
+        if not 0 < least < 1:
+            raise ValueError("the threshold lies between 0 and 1")
+        s = float(least)
+        miss = 0.0
+        for width in reversed(WIDTHS):
+            miss = (1 - s * (1 - miss)) ** width
+        children, lost = 1, 1.0
+        while lost > BRANCH_LOSS:
+            children, lost = children + 1, 0.0
+            for _ in range(DEEPEST):
+                lost = (1 - s * (1 - lost)) ** children
+        agree = math.ceil(T * (s - DEVIATIONS * math.sqrt(s * (1 - s) / T)))
+        return Threshold(least, math.ceil(math.log(LEAF_LOSS) / math.log(miss)), children, max(agree, 1))
+
+    def close(self, shared: int, union: int) -> bool:
+        """Whether shared / union is the threshold or more."""
+        return self.least.denominator * shared >= self.least.numerator * union > 0
+
+#: The contract of op1.
+OP1 = Threshold.of(0.85)
 
 _RNG = np.random.default_rng(17)
 _XOR, _MUL = (_RNG.integers(1, 2**63, T, dtype=U64) for _ in range(2))
@@ -44,7 +84,7 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def paths(sig: np.ndarray) -> np.ndarray:
+def paths(sig: np.ndarray, trees: int = TREES) -> np.ndarray:
     """The names of the leaves that each row of tokens reaches."""
     rows, wide, out = np.arange(len(sig)), sig.astype(U64), []
 
@@ -57,7 +97,7 @@ def paths(sig: np.ndarray) -> np.ndarray:
             at = level + len(WIDTHS) * (((mix(node ^ U64(level + 1)) >> U64(20)).astype(np.int64) + j * 7) % (T // len(WIDTHS)))
             down(mix(node ^ ((at.astype(U64) << U64(16)) | wide[rows, at])), level + 1)
 
-    for tree in range(TREES):
+    for tree in range(trees):
         down(np.full(len(sig), (tree + 1) * 0x1000003, U64), 0)
     return np.stack(out, 1).view(np.int64)
 
@@ -65,70 +105,76 @@ def paths(sig: np.ndarray) -> np.ndarray:
 _SET_SCHEMA = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, marks binary, paths array<long>"
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0)
-        for lo, hi, data, offs in text_chunks(batch):
-            start, end, first = word_bounds(data, offs)
-            sets = shingles(span_hashes(data, start, end, fold=True), first)
-            sizes = np.array(list(map(len, sets)), np.int64)
-            full = np.flatnonzero(sizes)
-            h = np.zeros((2, hi - lo), U64)
-            sig, marks, leaf = [None] * (hi - lo), [None] * (hi - lo), [None] * (hi - lo)
-            if len(full):
-                held = [sets[i] for i in full]
-                flat, begin = np.concatenate(held), np.cumsum([0, *sizes[full][:-1]])
-                h[0, full], h[1, full] = (np.add.reduceat(mix(flat ^ U64(k)), begin) for k in (0x1234567, 0x89ABCDEF0))
-                tokens = minwise(held)
-                for i, s, p in zip(full.tolist(), tokens, paths(tokens), strict=True):
-                    sig[i], marks[i], leaf[i] = s.astype(np.uint8).tobytes(), p.astype(np.uint32).tobytes(), p
-            cols = [ids.slice(lo, hi - lo), sizes, h[0].view(np.int64), h[1].view(np.int64), pa.array(sig, pa.binary()), pa.array(marks, pa.binary()), pa.array(leaf, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], ["doc_id", "n_shingles", "h1", "h2", "sig", "marks", "paths"])
-
-
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs (a, b, text_a, text_b) whose full sets are similar enough: 100 * intersection >= 85 * union."""
-    last: tuple[object, np.ndarray] = (None, np.zeros(0, U64))
-
-    def sets_of(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
-        for _, _, data, offs in text_chunks(batch, name):
-            start, end, first = word_bounds(data, offs)
-            yield from shingles(span_hashes(data, start, end, fold=True), first)
-
-    for whole in batches:
-        for at in range(0, whole.num_rows, 512):
-            batch = whole.slice(at, 512)
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            heads: dict[int, int] = {}
-            for i, x in enumerate(a):
-                heads.setdefault(x, i)
-            fresh = [i for x, i in heads.items() if x != last[0]]
-            known = {last[0]: last[1]}
-            if fresh:
-                known |= dict(zip((a[i] for i in fresh), sets_of(pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(fresh))], ["text"]), "text"), strict=True))
-            keep = []
-            for i, other in enumerate(sets_of(batch, "text_b")):
-                one = known[a[i]]
-                if 100 * min(len(one), len(other)) >= 85 * max(len(one), len(other)) > 0:
-                    where = np.searchsorted(one, other)
-                    where[where == len(one)] = 0
-                    both = int(np.count_nonzero(one[where] == other))
-                    if 100 * both >= 85 * (len(one) + len(other) - both):
-                        keep.append(i)
-            last = (a[-1], known[a[-1]])
-            if keep:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], ["a", "b"])
-
-
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _describe(trees: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for lo, hi, data, offs in text_chunks(batch):
+                start, end, first = word_bounds(data, offs)
+                sets = shingles(span_hashes(data, start, end, fold=True), first)
+                sizes = np.array(list(map(len, sets)), np.int64)
+                full = np.flatnonzero(sizes)
+                h = np.zeros((2, hi - lo), U64)
+                sig, marks, leaf = [None] * (hi - lo), [None] * (hi - lo), [None] * (hi - lo)
+                if len(full):
+                    held = [sets[i] for i in full]
+                    flat, begin = np.concatenate(held), np.cumsum([0, *sizes[full][:-1]])
+                    h[0, full], h[1, full] = (np.add.reduceat(mix(flat ^ U64(k)), begin) for k in (0x1234567, 0x89ABCDEF0))
+                    tokens = minwise(held)
+                    for i, s, p in zip(full.tolist(), tokens, paths(tokens, trees), strict=True):
+                        sig[i], marks[i], leaf[i] = s.astype(np.uint8).tobytes(), p.astype(np.uint32).tobytes(), p
+                cols = [ids.slice(lo, hi - lo), sizes, h[0].view(np.int64), h[1].view(np.int64), pa.array(sig, pa.binary()), pa.array(marks, pa.binary()), pa.array(leaf, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], ["doc_id", "n_shingles", "h1", "h2", "sig", "marks", "paths"])
+
+    return run
+
+
+def _confirm(at: Threshold):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keeps the pairs (a, b, text_a, text_b) whose full sets are similar enough."""
+        last: tuple[object, np.ndarray] = (None, np.zeros(0, U64))
+
+        def sets_of(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
+            for _, _, data, offs in text_chunks(batch, name):
+                start, end, first = word_bounds(data, offs)
+                yield from shingles(span_hashes(data, start, end, fold=True), first)
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                heads: dict[int, int] = {}
+                for i, x in enumerate(a):
+                    heads.setdefault(x, i)
+                fresh = [i for x, i in heads.items() if x != last[0]]
+                known = {last[0]: last[1]}
+                if fresh:
+                    known |= dict(zip((a[i] for i in fresh), sets_of(pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(fresh))], ["text"]), "text"), strict=True))
+                keep = []
+                for i, other in enumerate(sets_of(batch, "text_b")):
+                    one = known[a[i]]
+                    if at.close(min(len(one), len(other)), max(len(one), len(other))):
+                        where = np.searchsorted(one, other)
+                        where[where == len(one)] = 0
+                        both = int(np.count_nonzero(one[where] == other))
+                        if at.close(both, len(one) + len(other) - both):
+                            keep.append(i)
+                last = (a[-1], known[a[-1]])
+                if keep:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], ["a", "b"])
+
+    return run
+
+
+def _links(pairs: DataFrame, texts: DataFrame, at: Threshold) -> DataFrame:
     """The confirmed ones of pairs (a, b). The two joins share one exchange of the texts; a side with a hot key is split by AQE."""
     t = texts.select(F.col("doc_id"), F.col("text"))
     one = pairs.join(t.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
     two = one.join(t.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(at), "a long, b long")
 
 
-def _node_pairs(comps: np.ndarray, sigs: np.ndarray, most: int, leaf: int = 0, rows: np.ndarray | None = None, used: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _node_pairs(comps: np.ndarray, sigs: np.ndarray, most: int, leaf: int = 0, rows: np.ndarray | None = None, used: tuple[int, ...] = (), at: Threshold = OP1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of a node's sets that lie in different components and may be similar; for each set the `most` likeliest (0: all)."""
     rows = np.arange(len(comps)) if rows is None else rows
     own = comps[rows]
@@ -137,33 +183,32 @@ def _node_pairs(comps: np.ndarray, sigs: np.ndarray, most: int, leaf: int = 0, r
     if len(rows) > SMALL and len(used) < DEEPEST:
         free = np.setdiff1d(np.arange(T), used)
         salt = mix(np.array([leaf + len(used) * 1_000_003], U64) ^ U64(int(np.sum(used)) + 1))[0]
-        chosen = [c for c in free[np.argsort(mix(free.astype(U64) ^ salt))].tolist() if (sigs[rows, c] != sigs[rows[0], c]).any()][:CHILDREN]
+        chosen = [c for c in free[np.argsort(mix(free.astype(U64) ^ salt))].tolist() if (sigs[rows, c] != sigs[rows[0], c]).any()][: at.children]
         parts = []
         for c in chosen:
             order = rows[np.argsort(sigs[rows, c], kind="stable")]
             parts += [(c, part) for part in np.split(order, np.flatnonzero(np.diff(sigs[order, c].astype(np.int16))) + 1)]
-        if len(chosen) == CHILDREN and sum(len(part) ** 2 for _, part in parts) < len(rows) ** 2:
+        if len(chosen) == at.children and sum(len(part) ** 2 for _, part in parts) < len(rows) ** 2:
             for c, part in parts:
-                yield from _node_pairs(comps, sigs, most, leaf, part, (*used, c))
+                yield from _node_pairs(comps, sigs, most, leaf, part, (*used, c), at)
             return
     _, back, count = np.unique(own, return_inverse=True, return_counts=True)
     rows = rows[np.lexsort((own, count[back]))]  # small components first; a pair is taken from the side of its first
     own, mine = comps[rows], sigs[rows]
-    least = int(np.ceil(LEAST_AGREE * T))
     block = max(1, (4 << 20) // (len(rows) * T))
     for lo in range(0, len(rows) - int(count.max()), block):  # members of the largest component, the last ones, need no partners among themselves
         some = slice(lo, min(lo + block, len(rows)))
         agree = np.count_nonzero(mine[some, None, :] == mine[None, lo:, :], axis=2)
         agree[(own[some, None] == own[None, lo:]) | (np.arange(lo, len(rows))[None, :] <= np.arange(lo, some.stop)[:, None])] = 0
         if most:
-            for r in np.flatnonzero((agree >= least).sum(1) > most).tolist():
+            for r in np.flatnonzero((agree >= at.agree).sum(1) > most).tolist():
                 agree[r, np.argsort(-agree[r], kind="stable")[most:]] = 0
-        i, j = np.nonzero(agree >= least)
+        i, j = np.nonzero(agree >= at.agree)
         if len(i):
             yield rows[lo + i], rows[lo + j]
 
 
-def _compare_nodes(most: int):
+def _compare_nodes(most: int, at: Threshold):
     def pairs_of(batches: list[pa.RecordBatch]) -> list[np.ndarray]:
         """A pair that shares several leaves is taken in the first of them, as the marks of both its sets' leaves tell.
 
@@ -175,7 +220,7 @@ def _compare_nodes(most: int):
         sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, T)
         marks = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint32).reshape(len(ids), -1)
         out = []
-        for i, j in _node_pairs(comps, sigs, most, leaf):
+        for i, j in _node_pairs(comps, sigs, most, leaf, at=at):
             first = (marks[i] == marks[j]).argmax(1)
             here = (marks[i, first] == leaf) | (len(ids) > SMALL)
             out.append(np.sort(np.stack([ids[i[here]], ids[j[here]]], 1), axis=1))
@@ -207,31 +252,32 @@ def _compare_nodes(most: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, rounds: tuple[int, ...] = (8, 0)) -> DataFrame:
+def near_duplicates(docs: DataFrame, rounds: tuple[int, ...] = (8, 0), threshold: float = 0.85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are ignored).
 
     Null, empty and white-space texts have an empty set: linked with nothing, each its own component. Equal sets are always one
-    component, so repeated rows are linked. Links have similarity >= 0.85 on whole sets; component_id is the least doc_id that
+    component, so repeated rows are linked. Links have similarity >= threshold on whole sets; component_id is the least doc_id that
     links reach and kept says that it is the row's own. A null doc_id is compared under no other document; its component is its
     set's least doc_id, or null. Empty tables give an empty result.
     """
+    at = Threshold.of(threshold)
     bounded_batches(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = materialize(texts.mapInArrow(_describe, _SET_SCHEMA), "sets")
+    sets = materialize(texts.mapInArrow(_describe(at.trees), _SET_SCHEMA), "sets")
     first = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     reps = materialize(sets.join(first, ["h1", "h2"]).filter("doc_id = rep").dropDuplicates(["h1", "h2"]).select("rep", "sig", "marks", "paths"), "reps")
     nodes = reps.select("rep", F.explode("paths").alias("path"))
     pivots = nodes.groupBy("path").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("path", "a")
     star = nodes.join(pivots, "path").filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
-    links = materialize(_links(star, texts), "links")
+    links = materialize(_links(star, texts, at), "links")
     comps = connected_components(links)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # much work for few bytes: not to be coalesced by size
     for most in rounds:
         known = nodes.join(comps, F.col("rep") == F.col("node"), "left").select("path", "rep", F.coalesce("component", "rep").alias("comp"))
         open_ = known.groupBy("path").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("path")
         rows = known.join(open_, "path").join(reps.select("rep", "sig", "marks"), "rep")
-        found = rows.select("path", "rep", "comp", "sig", "marks").repartition(tasks, "path").sortWithinPartitions("path").mapInArrow(_compare_nodes(most), "a long, b long")
-        more = materialize(_links(found.distinct(), texts), "links")
+        found = rows.select("path", "rep", "comp", "sig", "marks").repartition(tasks, "path").sortWithinPartitions("path").mapInArrow(_compare_nodes(most, at), "a long, b long")
+        more = materialize(_links(found.distinct(), texts, at), "links")
         if more.isEmpty():
             if most == 0:
                 break
@@ -244,9 +290,9 @@ def near_duplicates(docs: DataFrame, rounds: tuple[int, ...] = (8, 0)) -> DataFr
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of docs, with all their columns, whose document stands for its group; of repeated rows of it, one stays."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
+    kept = near_duplicates(docs, threshold=threshold).filter("kept").select("doc_id").distinct()
     lone = docs.filter("doc_id is null")
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(lone)
 

@@ -19,7 +19,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(documents(spark, sf_dir))
+    return near_dedup.near_duplicates(documents(spark, sf_dir), threshold=0.85)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,43 @@ def test_paths_meet_at_the_planned_rate():
     assert (near_dedup.paths(a) == near_dedup.paths(b)).any(1).mean() > 0.9995
 
 
+def groups_at(rows, percent):
+    """The least document of each group, by comparing all pairs at a threshold in per cent."""
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for a, b in combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            x, y = sorted((root[a], root[b]))
+            root = {i: x if r == y else r for i, r in root.items()}
+    return set(root.values())
+
+
+def test_pipeline_stage_links_from_80_percent(spark, table, prose):
+    """Sets of 20 and 16 shared shingles link at 80 %, of 15 do not; near copies between 80 and 85 % go as brute force says."""
+    import corpus_pipeline
+
+    a = [f"w{i}" for i in range(24)]
+    rows = prose + [(500, " ".join(a)), (501, " ".join(a[:20])), (502, " ".join(a[:19]).replace("w0 ", ""))]
+    rng = np.random.default_rng(5)
+    for i in range(40):
+        words = [f"t{i}x{j}" for j in range(104)]
+        rows.append((1000 + 2 * i, " ".join(words)))
+        words[: int(rng.integers(8, 22))] = ["new"]
+        rows.append((1001 + 2 * i, " ".join(words)))
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table(rows), "").select("doc_id").collect()}
+    assert kept == groups_at(rows, 80) and kept < groups_at(rows, 85)
+
+
+def test_paths_meet_at_the_planned_rate_at_80_percent():
+    at = near_dedup.Threshold.of(0.8)
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 65536, (20_000, near_dedup.T)).astype(np.uint16)
+    b = np.where(rng.random(a.shape) < 0.8, a, rng.integers(0, 65536, a.shape)).astype(np.uint16)
+    assert (near_dedup.paths(a, at.trees) == near_dedup.paths(b, at.trees)).any(1).mean() > 0.9995
+    assert ((a == b).sum(1) >= at.agree).mean() > 0.999
+
+
 @pytest.mark.parametrize("branching", [4, 2048])
 def test_large_nodes_branch(monkeypatch, branching):
     monkeypatch.setattr(near_dedup, "SMALL", branching)
