@@ -2,13 +2,16 @@
 
 A text's words are its runs of letters, folded to lower case, between word marks; a character's context is the up to ORDER - 1
 characters before it in its word. Grams are counted over all training documents (words are counted within a task, then grams are
-summed over the table). Each model is two sorted arrays of 64-bit hashes: grams with their interpolated log probability, contexts
-with their back-off weight. A word's cost does not depend on its neighbours, so each worker scores a word once while its bounded
-cache lasts; a text goes to the language of least cost per character.
+summed over the table). Counts, discounts and probabilities of all grams are DataFrame aggregations, and no gram is left out. The
+models are a table of 64-bit hashes in shared storage, in shards by hash: grams with their interpolated log probability, contexts
+with their back-off weight. A worker looks up what a batch's new words need, shard by shard, and keeps shards of a bounded size.
+A word's cost does not depend on its neighbours, so each worker scores a word once while its bounded cache lasts; a text goes to the
+language of least cost per character.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -16,14 +19,16 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, materialize, mix, mod3, power_table, text_chunks
+from .common import U64, bounded_batches, materialize, mix, mod3, power_table, shared_dir, text_chunks
 
 ORDER = 5
-#: The bound of all models together: the most frequent grams of each language, in equal parts. Counts cover all documents.
-MOST_GRAMS = 400_000
+#: Least number of shards of the stored models, most entries of one, and entries that a worker keeps of them.
+SHARDS, SHARD_ENTRIES, KEPT_ENTRIES = 16, 500_000, 8_000_000
 #: Grams that a task holds before it sends partial counts, and words in a worker's cache.
 TASK_GRAMS, CACHE_WORDS = 400_000, 300_000
 #: A mean cost this many nats per character above the language's usual one halves the score.
@@ -188,9 +193,9 @@ def _hash_text(grams: pd.Series) -> np.ndarray:
 
 
 def estimate(lang: str, grams: pd.DataFrame) -> Model:
-    """Interpolated Kneser-Ney from counts (gram, n) of the longest grams and of those at word starts.
+    """Interpolated Kneser-Ney from counts (gram, n) of the longest grams and of those at word starts, of one language in memory.
 
-    Shorter grams inside words count the different symbols before them. Each order's discount is n1 / (n1 + 2 n2).
+    train() gives the same values for whole tables. Shorter grams inside words count the different symbols before them. Each order's discount is n1 / (n1 + 2 n2).
     """
     levels: dict[int, pd.DataFrame] = {}
     size = grams["gram"].str.len()
@@ -238,28 +243,135 @@ def estimate(lang: str, grams: pd.DataFrame) -> Model:
     return model
 
 
-def train(docs: DataFrame) -> list[Model]:
-    """A model for each non-null lang of the documents that are not held out, from the text of all of them."""
+@dataclass(frozen=True)
+class Stored:
+    """Models in shared storage: a folder of shards, and for each language its floor and usual cost."""
+
+    path: str
+    shards: int
+    langs: tuple[str, ...]
+    floors: tuple[float, ...]
+    usual: tuple[float, ...]
+
+
+def _levels(counts: DataFrame) -> list[DataFrame]:
+    """(lang, gram, c) for each length from 1 to ORDER, as in estimate(), of counts (lang, gram, n)."""
+    size, start = F.length("gram"), F.substring("gram", 1, 1) == chr(MARK)
+    out = [counts.filter(size == ORDER).select("lang", "gram", F.col("n").alias("c"))]
+    for n in range(ORDER - 1, 0, -1):
+        inner = out[0].groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("c"))
+        out.insert(0, materialize(inner.unionByName(counts.filter((size == n) & start).select("lang", "gram", F.col("n").alias("c"))), f"level{n}"))
+    return out
+
+
+def _hashed(shards: int, code: dict[str, int]):
+    """(lang, is_context, gram, v) to (shard, lang, is_context, h, v), with the language's number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                h = _hash_text(batch.column(2).to_pandas().astype(object))
+                lang = np.array([code[x] for x in batch.column(0).to_pylist()], np.int32)
+                cols = [pa.array((h % U64(shards)).astype(np.int32)), pa.array(lang), batch.column(1), pa.array(h.view(np.int64)), batch.column(3)]
+                yield pa.RecordBatch.from_arrays(cols, ["shard", "lang", "is_context", "h", "v"])
+
+    return run
+
+
+def train(docs: DataFrame) -> Stored:
+    """A model for each non-null lang of the documents that are not held out, from the text of all of them and with all their grams."""
     bounded_batches(docs)
+    spark = docs.sparkSession
     rows = mod3(docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))).filter("not held_out and lang is not null and text is not null")
     counts = rows.select("text", "lang").mapInArrow(_grams, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "grams")
-    names = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
-    out = []
-    for name in names:  # one at a time: the driver holds one language's grams, MOST_GRAMS / languages of them
-        top = counts.filter(F.col("lang") == name).orderBy(F.col("n").desc(), "gram").limit(max(1000, MOST_GRAMS // len(names)))
-        out.append(estimate(name, top.select("gram", "n").toPandas()))
-    return out
+    levels = _levels(materialize(counts, "grams"))
+    # A few values for each language: the driver holds no grams.
+    one = {r.lang: (r.total, max(r.symbols + 1, 2)) for r in levels[0].groupBy("lang").agg(F.sum("c").alias("total"), F.count("*").alias("symbols")).collect()}
+    langs = tuple(sorted(one))
+    if not langs:
+        return Stored("", SHARDS, (), (), ())
+    per_lang = lambda of: F.element_at(F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(of[k])))), F.col("lang"))
+    mass = {k: total + 0.1 * symbols for k, (total, symbols) in one.items()}
+    prob = levels[0].select("lang", "gram", "c", ((F.col("c") + 0.1) / per_lang(mass)).alias("p"))
+    entry = lambda df, context, gram, v: df.select("lang", F.lit(context).alias("is_context"), F.col(gram).alias("gram"), F.log(v).alias("v"))
+    entries = entry(prob, False, "gram", "p")
+    for n in range(2, ORDER + 1):
+        now = levels[n - 1]
+        seen = {r.lang: (r.n1, r.n2) for r in now.groupBy("lang").agg(F.count(F.when(F.col("c") == 1, 1)).alias("n1"), F.count(F.when(F.col("c") == 2, 1)).alias("n2")).collect()}
+        d = per_lang({k: min(0.9, max(0.1, n1 / (n1 + 2 * n2) if n1 + n2 else 0.5)) for k, (n1, n2) in ((k, seen.get(k, (0, 0))) for k in langs)})
+        now = now.withColumn("ctx", F.substring("gram", 1, n - 1))
+        stat = now.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).withColumn("weight", d * F.col("kinds") / F.col("total"))
+        lower = prob.select("lang", F.col("gram").alias("rest"), F.col("p").alias("lower"))
+        p = (F.col("c") - d) / F.col("total") + F.col("weight") * F.col("lower")
+        prob = materialize(now.withColumn("rest", F.substring("gram", 2, n - 1)).join(stat, ["lang", "ctx"]).join(lower, ["lang", "rest"]).select("lang", "gram", "ctx", "c", "weight", p.alias("p")), f"prob{n}")
+        entries = entries.unionByName(entry(prob, False, "gram", "p")).unionByName(entry(prob.dropDuplicates(["lang", "ctx"]), True, "ctx", "weight"))
+    # The usual cost: of the model's own longest grams at their frequency, which stands for its training text.
+    usual = {r.lang: r.cost for r in prob.groupBy("lang").agg((-F.sum(F.log("p") * F.col("c")) / F.sum("c")).alias("cost")).collect()}
+    entries = materialize(entries, "entries")
+    shards = max(SHARDS, -(-entries.count() // SHARD_ENTRIES))
+    path = f"{shared_dir(spark).rstrip('/')}/models-{uuid.uuid4().hex}"
+    hashed = entries.mapInArrow(_hashed(shards, {k: i for i, k in enumerate(langs)}), "shard int, lang int, is_context boolean, h long, v double")
+    hashed.withColumn("v", F.col("v").cast("float")).repartition(shards, "shard").sortWithinPartitions("shard").write.partitionBy("shard").parquet(path)
+    return Stored(path, shards, langs, tuple(float(np.log(0.1 / mass[k])) for k in langs), tuple(float(usual.get(k, Model.usual)) for k in langs))
+
+
+class _Shards:
+    """The stored models of a worker: shards are read as they are needed, and the least recent ones go."""
+
+    def __init__(self, stored: Stored):
+        self.stored = stored
+        self.fs, self.root = pafs.FileSystem.from_uri(stored.path) if stored.path else (None, "")
+        self.held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def _read(self, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sorted hashes and values of a shard, for each language those of grams and of contexts."""
+        if k in self.held:
+            self.held[k] = self.held.pop(k)
+            return self.held[k]
+        where = f"{self.root}/shard={k}"
+        n = 2 * len(self.stored.langs)
+        if self.fs.get_file_info(where).type == pafs.FileType.NotFound:
+            part, h, v = np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.float32)
+        else:
+            table = pq.read_table(where, filesystem=self.fs, columns=["lang", "is_context", "h", "v"], partitioning=None)
+            part = table["lang"].to_numpy().astype(np.int64) * 2 + table["is_context"].to_numpy()
+            h, v = table["h"].to_numpy().view(U64), table["v"].to_numpy()
+        order = np.lexsort((h, part))
+        ends = np.searchsorted(part[order], np.arange(n + 1))
+        h, v = h[order], v[order]
+        while self.held and sum(len(x) for one in self.held.values() for x, _ in one) + len(h) > KEPT_ENTRIES:
+            del self.held[next(iter(self.held))]
+        self.held[k] = [(h[a:b], v[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return self.held[k]
+
+    def models(self, wanted: np.ndarray) -> list[Model]:
+        """The models cut to the wanted hashes, which are all that the words at hand look up."""
+        wanted = np.unique(wanted)
+        shard = (wanted % U64(self.stored.shards)).astype(np.int64)
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(2 * len(self.stored.langs))]
+        # Shards at hand come first, so that those that must go are not read twice.
+        for k in sorted(np.unique(shard).tolist(), key=lambda k: k not in self.held):
+            asked = wanted[shard == k]
+            for i, (keys, values) in enumerate(self._read(k)):
+                hit, value = _look(keys, values, asked)
+                found[i].append((asked[hit], value[hit]))
+        joined = []
+        for parts in found:
+            h = np.concatenate([np.zeros(0, U64), *(x for x, _ in parts)])
+            order = np.argsort(h)
+            joined.append((h[order], np.concatenate([np.zeros(0, np.float32), *(x for _, x in parts)])[order]))
+        s = self.stored
+        return [Model(s.langs[i], *joined[2 * i], *joined[2 * i + 1], s.floors[i], s.usual[i]) for i in range(len(s.langs))]
 
 
 class _Scorer:
-    def __init__(self, models: list[Model]):
-        self.models = models
+    def __init__(self, stored: Stored):
+        self.shards = _Shards(stored)
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[int, int] = {}
-        self.cost = np.zeros((1024, len(self.models)), np.float32)
+        self.cost = np.zeros((1024, len(self.shards.stored.langs)), np.float32)
 
     def word_costs(self, points: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> np.ndarray:
         unique, first, back = np.unique(key, return_index=True, return_inverse=True)
@@ -273,7 +385,7 @@ class _Scorer:
         if len(new):
             x, at = marked(points, start[first[new]], end[first[new]])
             hashes = [np.zeros(0, U64), *(gram_hash(x, n) for n in range(1, ORDER + 1))]
-            fresh = np.stack([m.costs(x, at, hashes) for m in self.models], 1)
+            fresh = np.stack([m.costs(x, at, hashes) for m in self.shards.models(np.concatenate(hashes))], 1)
             base = len(index)
             while len(self.cost) < base + len(new):
                 self.cost = np.concatenate([self.cost, np.zeros_like(self.cost)])
@@ -286,23 +398,23 @@ class _Scorer:
 _scorers: dict[str, _Scorer] = {}
 
 
-def _predict(models: list[Model], tag: str):
+def _predict(models: Stored):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tag not in _scorers:
+        if models.path not in _scorers:
             _scorers.clear()
-            _scorers[tag] = _Scorer(models)
-        scorer = _scorers[tag]
-        usual = np.array([m.usual for m in models])
-        names = np.array([m.lang for m in models], object)
+            _scorers[models.path] = _Scorer(models)
+        scorer = _scorers[models.path]
+        usual = np.array(models.usual)
+        names = np.array(models.langs, object)
         for batch in batches:
             for lo, hi, data, offs in text_chunks(batch):
                 rows = hi - lo
                 points, start, end, key, row = words(data, offs)
                 pred, score = np.full(rows, "und", object), np.zeros(rows)
-                if len(start) and models:
+                if len(start) and models.langs:
                     cost = scorer.word_costs(points, start, end, key)
                     n = np.bincount(row, end - start + 1, rows)
-                    mean = np.stack([np.bincount(row, cost[:, j], rows) for j in range(len(models))], 1) / np.maximum(n, 1)[:, None]
+                    mean = np.stack([np.bincount(row, cost[:, j], rows) for j in range(len(names))], 1) / np.maximum(n, 1)[:, None]
                     best = mean.argmin(1)
                     gap = np.exp(-np.minimum((mean - mean.min(1)[:, None]) * np.minimum(n, 60)[:, None], 50)).sum(1)
                     sure = 1 / (1 + np.exp(np.minimum(4 * (mean.min(1) - usual[best] - SLACK), 50)))
@@ -313,18 +425,17 @@ def _predict(models: list[Model], tag: str):
     return run
 
 
-def identify(docs: DataFrame, models: list[Model], accept: float = 0.5) -> DataFrame:
+def identify(docs: DataFrame, models: Stored, accept: float = 0.5) -> DataFrame:
     """doc_id, lang_pred, score and accepted for each row of docs (doc_id, text).
 
     lang_pred is the language of least cost per character; a tie goes to the first by name. score is its share among the languages
     at that cost, lowered where the cost is above what the language's own text takes; accepted is score >= accept (the rejection).
     A null text, and one without a letter, is `und` with score 0; so is every text if there is no model. Equal texts get equal
-    results. An empty table gives an empty result. The models have a bounded size (MOST_GRAMS) and go out with the tasks.
+    results. An empty table gives an empty result. The models stay in shared storage; workers read what they look up.
     """
     bounded_batches(docs)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    tag = str(hash(tuple((m.lang, len(m.gram), float(m.logp.sum())) for m in models)))
-    out = rows.mapInArrow(_predict(models, tag), f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double")
+    out = rows.mapInArrow(_predict(models), f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double")
     return out.withColumn("accepted", F.col("score") >= accept)
 
 

@@ -139,6 +139,31 @@ def test_models_are_distributions():
         assert 0.8 < np.exp(steps).sum() <= 1.001
 
 
+def test_models_keep_all_grams(table, monkeypatch):
+    """Two languages of over 200,000 grams each: every gram and context has the value that its language's whole counts give."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    rows, grams, mark = [], {"aa": Counter(), "bb": Counter()}, chr(language_id.MARK)
+    for i, lang in enumerate(["aa", "bb"] * 30):
+        words = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrst"), (2500, 8))]
+        rows.append((i, " ".join(words), lang))
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            for w in words:
+                x = mark + w + mark
+                grams[lang].update([x[:n] for n in range(2, language_id.ORDER)] + [x[j : j + language_id.ORDER] for j in range(len(x) - language_id.ORDER + 1)])
+    stored = language_id.train(table(rows))
+    assert stored.langs == ("aa", "bb") and min(map(len, grams.values())) > 200_000
+    monkeypatch.setattr(language_id, "KEPT_ENTRIES", 50_000)  # shards come and go
+    shards = language_id._Shards(stored)
+    want = [language_id.estimate(k, pd.DataFrame({"gram": list(c), "n": list(c.values())})) for k, c in grams.items()]
+    got = shards.models(np.concatenate([x for m in want for x in (m.gram, m.context)]))
+    for a, b in zip(want, got, strict=True):
+        assert np.array_equal(a.gram, b.gram) and np.array_equal(a.context, b.context)
+        assert np.allclose(a.logp, b.logp, atol=1e-5) and np.allclose(a.backoff, b.backoff, atol=1e-5)
+        assert np.isclose(a.floor, b.floor) and np.isclose(a.usual, b.usual)
+
+
 @pytest.mark.parametrize("bad", [b"\xff\xfe abc", b"caf\xc3"])
 def test_bytes_that_are_no_text(bad):
     """Words of damaged bytes are taken with replacement marks, which are no letters."""
