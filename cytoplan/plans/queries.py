@@ -463,6 +463,12 @@ def e1_expectation_maximisation(spark, d):
     return quant.abundances(c).withColumn("n", F.round("n", 4))
 
 
+@query()
+def e1_all_cells(spark, d):
+    """As e1_expectation_maximisation, of every cell: too many for the recursive SQL, tests hold it against brute force."""
+    return quant.abundances(resolve.class_counts(resolve.votes_winner_take_all(base.labelled(spark, d)))).withColumn("n", F.round("n", 4))
+
+
 @query()
 def e3_spliced_em(spark, d):
     return quant.quantify(base.spliced_labels(spark, d), "cr-like-em", 0, genes=SPLICED_GENES).withColumn("n", F.round("n", 4))

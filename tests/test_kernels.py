@@ -62,6 +62,47 @@ def test_expectation_maximisation():
     assert sided[0] > sided.get(1, 0)
 
 
+def brute_em(reads):
+    """Abundances of one cell's reads (umi, label), with plain dictionaries."""
+    votes = {}
+    for umi, label in reads:
+        for g in label:
+            votes.setdefault(umi, {}).setdefault(g, 0)
+            votes[umi][g] += 1
+    classes = {}
+    for v in votes.values():
+        label = tuple(sorted(g for g in v if v[g] == max(v.values())))
+        classes[label] = classes.get(label, 0) + 1
+    unique = {g: classes.get((g,), 0) for label in classes for g in label}
+    alpha = {g: (u + 0.5) * 1e-3 for g, u in unique.items()}
+    for r in range(100):
+        new = {g: float(u) for g, u in unique.items()}
+        for label, n in classes.items():
+            if len(label) > 1:
+                for g in label:
+                    new[g] += n * alpha[g] / sum(alpha[h] for h in label)
+        moved = any(new[g] > 0.01 and abs(new[g] - alpha[g]) > 0.01 for g in new)
+        alpha = new
+        if r and not moved:
+            break
+    return {g: x for g, x in alpha.items() if x >= 0.01}
+
+
+def test_em_query_covers_all_cells(spark):
+    from cytoplan.plans import base
+    from cytoplan.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    cells = {}
+    for r in base.labelled(spark, sf).collect():
+        cells.setdefault(r.cell, []).append((r.umi, r.label))
+    want = {(c, g): x for c, reads in cells.items() for g, x in brute_em(reads).items()}
+    got = {(r.cell, r.gid): r.n for r in QUERIES["e1_all_cells"](spark, sf).collect()}
+    assert max(cells) >= 64 and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-3 for k in want)
+    part = {(r.cell, r.gid): r.n for r in QUERIES["e1_expectation_maximisation"](spark, sf).collect()}
+    assert part == {k: x for k, x in got.items() if k[0] < 64}
+
+
 def test_bootstrap_is_seeded():
     classes = [((0,), 5), ((0, 1), 4), ((1,), 1)]
     one, two = kernels.bootstrap(classes, 3, 11), kernels.bootstrap(classes[::-1], 3, 11)
