@@ -140,6 +140,12 @@ def sf7_differing_bases(spark, d):
     return a.join(b, "m").select("a", "b", dna.differing_bases(F.col("a"), F.col("b")).alias("bases"))
 
 
+@query(f"""WITH {base.SQL_KEPT} SELECT a.bc AS a, b.bc AS b, list_sum(list_transform(range({BASES}), lambda i: (((a.bc >> (2 * i)) & 3) <> ((b.bc >> (2 * i)) & 3))::INTEGER))::INTEGER AS bases FROM kept a, kept b""")
+def sf7_all_pairs(spark, d):
+    k = permit.force_cells(base.hist(spark, d), CELLS).select("bc")  # CELLS of them, so all pairs are bounded as well
+    return k.select(F.col("bc").alias("a")).crossJoin(F.broadcast(k.select(F.col("bc").alias("b")))).select("a", "b", dna.differing_bases(F.col("a"), F.col("b")).alias("bases"))
+
+
 # ---- correction ----
 
 

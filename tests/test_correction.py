@@ -87,3 +87,13 @@ def test_knee_and_thresholds(spark):
     assert permit.expect_cells(h, 4).count() == 5  # a tenth of 60 is 6
     empty = h.limit(0)
     assert permit.knee(empty).count() == permit.force_cells(empty, 3).count() == permit.expect_cells(empty, 3).count() == 0
+
+
+def test_differing_bases_sees_all_places(spark):
+    """Pairs that differ in the last two bases are compared as well."""
+    from cytoplan.plans.queries import QUERIES
+
+    rows = QUERIES["sf7_all_pairs"](spark, "/root/testdata/sf0.001").collect()
+    kept = {r.a for r in rows}
+    assert len(rows) == len(kept) ** 2 and any(r.a % 16 != r.b % 16 for r in rows)
+    assert all(r.bases == sum((r.a >> 2 * i) & 3 != (r.b >> 2 * i) & 3 for i in range(6)) for r in rows)
