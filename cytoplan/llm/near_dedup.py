@@ -34,7 +34,7 @@ SMALL, CHILDREN, DEEPEST = 2048, 3, 12
 #: Greatest chance that a pair at the threshold shares no leaf, and that it is lost where a large node branches on.
 LEAF_LOSS, BRANCH_LOSS = 6e-6, 0.004
 #: A pair is worth confirming from so many deviations of its share of equal tokens below the threshold.
-DEVIATIONS = 3.8
+DEVIATIONS = 4.5
 
 
 @dataclass(frozen=True)

@@ -1,3 +1,4 @@
+import math
 import re
 from itertools import combinations
 
@@ -110,6 +111,14 @@ def test_paths_meet_at_the_planned_rate_at_80_percent():
     assert ((a == b).sum(1) >= at.agree).mean() > 0.999
 
 
+@pytest.mark.parametrize("similarity", [0.85, 0.8])
+def test_few_links_are_lost_to_the_agreement_bound(similarity):
+    """The binomial chance that a pair at the threshold has fewer equal tokens than are asked for."""
+    n = near_dedup.T
+    below = sum(math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k) for k in range(near_dedup.Threshold.of(similarity).agree))
+    assert below < 2e-5
+
+
 @pytest.mark.parametrize("branching", [4, 2048])
 def test_large_nodes_branch(monkeypatch, branching):
     monkeypatch.setattr(near_dedup, "SMALL", branching)
