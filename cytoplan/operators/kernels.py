@@ -15,33 +15,46 @@ LEAST_ROUNDS, MOST_ROUNDS, WATCHED, TOLERANCE, LEAST_OUTPUT = 2, 100, 0.01, 0.01
 BOTH_WAYS = 10**9
 
 
-def by_cell(rows: DataFrame, kernel: Callable[[object, Rows], Iterator[tuple]], schema: str, key: str = "cell") -> DataFrame:
-    """kernel(cell, rows of the cell) over all cells. A cell's rows come sorted to one task; a batch's last cell is carried over."""
-    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+def by_cell(rows: DataFrame, kernel: Callable[[object, Rows], Iterator[tuple]], schema: str, keys: tuple[str, ...] = ("cell",)) -> DataFrame:
+    """keys and schema: kernel(cell, rows of the cell) over all cells, a cell being a value of the key columns.
+
+    A cell's rows come sorted to one task; a batch's last cell is carried over. The kernel gets the tuple of the keys' values and yields
+    tuples of the other columns.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    whole = ", ".join([*(f"{k} {'long' if kinds[k] == 'bigint' else kinds[k]}" for k in keys), schema])
+    names = [f.strip().split(" ")[0] for f in whole.split(",")]
+    others = [c for c in rows.columns if c not in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Rows = []
+        held_key: tuple | None = None
         out: list[tuple] = []
+        kind = _arrow(whole)
 
         def packed() -> Iterator[pa.RecordBatch]:
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=kind)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kind, strict=True)], schema=kind)
                 out.clear()
 
-        kind = _arrow(schema)
+        def close() -> None:
+            out.extend((*held_key, *r) for r in kernel(held_key, held))
+
         for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[-1][key] != row[key]:
-                    out.extend(kernel(held[-1][key], held))
-                    held = []
-                held.append(row)
+            lists = {c: batch.column(names_at).to_pylist() for names_at, c in enumerate(batch.schema.names)}
+            for key, *values in zip(zip(*(lists[k] for k in keys), strict=True), *(lists[c] for c in others), strict=True):
+                if key != held_key:
+                    if held_key is not None:
+                        close()
+                    held, held_key = [], key
+                held.append(dict(zip(others, values, strict=True)))
             if len(out) > 20_000:
                 yield from packed()
-        if held:
-            out.extend(kernel(held[-1][key], held))
+        if held_key is not None:
+            close()
         yield from packed()
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, whole)
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -140,6 +153,16 @@ def vote_winners(reads: list[tuple[int, tuple[int, ...], int]]) -> Iterator[tupl
         yield tuple(sorted(g for g, n in v.items() if n == top))
 
 
+def genes_by_rows(rows: Rows) -> Callable[[int], int]:
+    """The gene of each reference, from rows that name it beside each reference of their label; without such a column, a reference is a gene."""
+    if not rows or rows[0].get("genes") is None:
+        return lambda t: t
+    known: dict[int, int] = {}
+    for r in rows:
+        known.update(zip(r["label"], r["genes"], strict=True))
+    return known.__getitem__
+
+
 def parsimony(rows: Rows, gene_of: Callable[[int], int], exact: bool = False, large: int = 1000) -> tuple[dict[tuple[int, ...], int], bool]:
     """Molecules by gene label of one cell's rows (label, umi, n), and whether a component was too large and went by votes."""
     rows = sorted(rows, key=lambda r: (r["label"], r["umi"]))
@@ -162,14 +185,16 @@ def parsimony(rows: Rows, gene_of: Callable[[int], int], exact: bool = False, la
     return dict(found), voted
 
 
-def likeliest_arborescence(v: int, free: set[int], out: list[list[int]], probs: list[dict[int, float]]) -> tuple[list[int], float, dict[int, float]]:
+def likeliest_arborescence(v: int, free: set[int], out: list[list[int]], probs: list[dict[int, float]], by_place: bool = False) -> tuple[list[int], float, dict[int, float]]:
     """Of the sets that v reaches by one of its references, the one of the highest mean probability, that mean, and every reference's mean.
 
-    A vertex counts with its own probability of the reference.
+    A vertex counts with its own probability of the reference; by_place: with its probability at the place that the reference has in
+    v's label, as the established implementation counts (a label too short for the place then counts 0).
     """
     best: list[int] = []
     top, means = 0.0, {}
-    for ref in sorted(probs[v]):
+    rows = [list(p.values()) for p in probs] if by_place else []
+    for place, ref in enumerate(sorted(probs[v])):
         seen, order = {v}, [v]
         for x in order:
             for y in out[x]:
@@ -177,13 +202,14 @@ def likeliest_arborescence(v: int, free: set[int], out: list[list[int]], probs:
                     seen.add(y)
                     if ref in probs[y]:
                         order.append(y)
-        means[ref] = sum(probs[x][ref] for x in order) / len(order)
+        own = [rows[x][place] if place < len(rows[x]) else 0.0 for x in order] if by_place else [probs[x][ref] for x in order]
+        means[ref] = sum(own) / len(order)
         if means[ref] > top:
             best, top = order, means[ref]
     return best or [v], top, means
 
 
-def weighted_parsimony(rows: Rows, gene_of: Callable[[int], int], exact: bool = False, large: int = 1000) -> dict[tuple[int, ...], tuple[int, list[float]]]:
+def weighted_parsimony(rows: Rows, gene_of: Callable[[int], int], exact: bool = False, large: int = 1000, by_place: bool = False) -> dict[tuple[int, ...], tuple[int, list[float]]]:
     """Molecules by gene label with the mean probability of each of its genes, of one cell's rows (label, umi, n, probs).
 
     As parsimony(), but a molecule is the arborescence of the highest mean probability. probs are the mean probabilities of the label's
@@ -210,7 +236,7 @@ def weighted_parsimony(rows: Rows, gene_of: Callable[[int], int], exact: bool =
         else:
             free = set(part)
             while free:
-                picks = [likeliest_arborescence(v, free, out, probs) for v in sorted(free)]
+                picks = [likeliest_arborescence(v, free, out, probs, by_place) for v in sorted(free)]
                 arb, _, means = max(picks, key=lambda x: x[1])
                 shared = set(labels[arb[0]]).intersection(*(labels[v] for v in arb[1:]))
                 add({t: p for t, p in means.items() if t in shared})
@@ -257,8 +283,8 @@ def expectation_maximisation(
 
     Classes of one target add their count; others are split in proportion to abundance. It starts from 1e-3 of the unique counts +
     0.5 (informative), 1 / axis (uniform) or at random, and stops when no abundance over WATCHED moved by more than TOLERANCE.
-    Abundances below LEAST_OUTPUT become 0; with last_round they become 0 before one round more, and classes that are all of one
-    target return at once. usa, the number of genes, weighs splicing layers together. probs: for each class the mean probabilities of
+    Abundances below LEAST_OUTPUT become 0; with last_round, if it did settle, a further round follows, after which small ones become
+    0 again, and classes that are all of one target return at once. usa, the number of genes, weighs splicing layers together. probs: for each class the mean probabilities of
     its targets, multiplied with their abundances.
     """
     if probs is not None:
@@ -284,15 +310,17 @@ def expectation_maximisation(
         share = np.divide(cnt, total, out=np.zeros_like(cnt), where=total > 0)
         return unique + np.bincount(tgt, w * share[cls], len(targets))
 
+    settled = False
     for r in range(MOST_ROUNDS):
         new = one(alpha)
-        settled = not (np.abs(new - alpha)[new > WATCHED] > TOLERANCE).any()
+        settled = r + 1 >= LEAST_ROUNDS and not (np.abs(new - alpha)[new > WATCHED] > TOLERANCE).any()
         alpha = new
-        if settled and r + 1 >= LEAST_ROUNDS:
+        if settled:
             break
     alpha[alpha < LEAST_OUTPUT] = 0
-    if last_round:
+    if last_round and settled:
         alpha = one(alpha)
+        alpha[alpha < LEAST_OUTPUT] = 0
     return {t: float(x) for t, x in zip(targets.tolist(), alpha, strict=True) if x > 0}
 
 
@@ -303,4 +331,4 @@ def bootstrap(classes: list[tuple[tuple[int, ...], float]], replicates: int, see
     if not classes:
         return [{} for _ in range(replicates)]
     n = np.array([c[1] for c in classes], float)
-    return [expectation_maximisation([(label, k) for (label, _), k in zip(classes, rng.multinomial(int(n.sum()), n / n.sum()), strict=True)], "random", rng=rng) for _ in range(replicates)]
+    return [expectation_maximisation([(label, k) for (label, _), k in zip(classes, rng.multinomial(int(n.sum()), n / n.sum()), strict=True)], "random", last_round=True, rng=rng) for _ in range(replicates)]

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dna
@@ -132,18 +133,12 @@ def sf4_shifts(spark, d):
     return permit.force_cells(base.hist(spark, d), CELLS).select("bc", F.explode(dna.shifts(F.col("bc"), BASES)).alias("neighbour"))
 
 
-@query(f"""WITH {base.SQL_KEPT} SELECT a.bc AS a, b.bc AS b, list_sum(list_transform(range({BASES}), lambda i: (((a.bc >> (2 * i)) & 3) <> ((b.bc >> (2 * i)) & 3))::INTEGER))::INTEGER AS bases
-FROM kept a JOIN kept b ON a.bc % 16 = b.bc % 16""")
+@query(f"""WITH {base.SQL_KEPT} SELECT k.bc AS a, h.bc AS b, list_sum(list_transform(range({BASES}), lambda i: (((k.bc >> (2 * i)) & 3) <> ((h.bc >> (2 * i)) & 3))::INTEGER))::INTEGER AS bases FROM kept k, hist h""")
 def sf7_differing_bases(spark, d):
-    k = permit.force_cells(base.hist(spark, d), CELLS).select("bc")
-    a, b = k.select(F.col("bc").alias("a"), (F.col("bc") % 16).alias("m")), k.select(F.col("bc").alias("b"), (F.col("bc") % 16).alias("m"))
-    return a.join(b, "m").select("a", "b", dna.differing_bases(F.col("a"), F.col("b")).alias("bases"))
-
-
-@query(f"""WITH {base.SQL_KEPT} SELECT a.bc AS a, b.bc AS b, list_sum(list_transform(range({BASES}), lambda i: (((a.bc >> (2 * i)) & 3) <> ((b.bc >> (2 * i)) & 3))::INTEGER))::INTEGER AS bases FROM kept a, kept b""")
-def sf7_all_pairs(spark, d):
-    k = permit.force_cells(base.hist(spark, d), CELLS).select("bc")  # CELLS of them, so all pairs are bounded as well
-    return k.select(F.col("bc").alias("a")).crossJoin(F.broadcast(k.select(F.col("bc").alias("b")))).select("a", "b", dna.differing_bases(F.col("a"), F.col("b")).alias("bases"))
+    """Of every retained barcode (CELLS of them, so that side is bounded and broadcast) and every barcode read."""
+    h = base.hist(spark, d)
+    k = permit.force_cells(h, CELLS).select(F.col("bc").alias("a"))
+    return h.select(F.col("bc").alias("b")).join(F.broadcast(k)).select("a", "b", dna.differing_bases(F.col("a"), F.col("b")).alias("bases"))
 
 
 # ---- correction ----
@@ -361,6 +356,8 @@ def u5_small_cells(spark, d):
     return quant.quantify(reads, "trivial", mean)
 
 
+_SLOT = f"""CASE WHEN x % 2 = 0 AND list_contains(label, x + 1) THEN {2 * SPLICED_GENES} + (x >> 1)
+ WHEN x % 2 = 0 THEN x >> 1 WHEN NOT list_contains(label, x - 1) THEN {SPLICED_GENES} + (x >> 1) END"""
 _VOTED = f"""{base.SQL_SPLICED}, {base.SQL_VOTES}, c AS (SELECT cell, label, count(*) AS n, list_filter(label, lambda x: x % 2 = 0) AS s FROM won GROUP BY ALL)"""
 
 
@@ -373,8 +370,7 @@ def u6_spliced_counts(spark, d):
     return resolve.spliced_counts(c, SPLICED_GENES)
 
 
-@query(f"""WITH {_VOTED}, f AS (SELECT cell, n, label, unnest(label) AS x FROM c), s AS (SELECT cell, n, label, CASE WHEN x % 2 = 0 AND list_contains(label, x + 1) THEN {2 * SPLICED_GENES} + (x >> 1)
- WHEN x % 2 = 0 THEN x >> 1 WHEN NOT list_contains(label, x - 1) THEN {SPLICED_GENES} + (x >> 1) END AS slot FROM f),
+@query(f"""WITH {_VOTED}, f AS (SELECT cell, n, label, unnest(label) AS x FROM c), s AS (SELECT cell, n, label, {_SLOT} AS slot FROM f),
 k AS (SELECT *, count(slot) OVER (PARTITION BY cell, label) AS parts FROM s WHERE slot IS NOT NULL)
 SELECT cell, slot, round(sum(n / parts), 6) AS n FROM k GROUP BY ALL""")
 def u7_spliced_uniform(spark, d):
@@ -382,8 +378,7 @@ def u7_spliced_uniform(spark, d):
     return resolve.spliced_uniform(c, SPLICED_GENES).withColumn("n", F.round("n", 6))
 
 
-@query(f"""WITH {_VOTED}, f AS (SELECT cell, n, label, unnest(label) AS x FROM c), s AS (SELECT cell, n, label, CASE WHEN x % 2 = 0 AND list_contains(label, x + 1) THEN {2 * SPLICED_GENES} + (x >> 1)
- WHEN x % 2 = 0 THEN x >> 1 WHEN NOT list_contains(label, x - 1) THEN {SPLICED_GENES} + (x >> 1) END AS slot FROM f)
+@query(f"""WITH {_VOTED}, f AS (SELECT cell, n, label, unnest(label) AS x FROM c), s AS (SELECT cell, n, label, {_SLOT} AS slot FROM f)
 SELECT cell, array_to_string(label, '|') AS label, array_to_string(list(slot ORDER BY slot) FILTER (WHERE slot IS NOT NULL), '|') AS slots, any_value(n) AS n FROM s GROUP BY cell, label""")
 def u8_spliced_relabel(spark, d):
     c = resolve.class_counts(resolve.votes_winner_take_all(base.spliced_labels(spark, d)))
@@ -393,9 +388,9 @@ def u8_spliced_relabel(spark, d):
 # ---- molecule graph, abundances ----
 
 _MOL = f"{tables.GRAPH_SQL}, mol AS (SELECT cell, label, umi, count(*) AS n FROM greads GROUP BY ALL)"
-_EDGE = f"""{_MOL}, edge AS (SELECT a.cell, a.label AS la, a.umi AS ua, b.label AS lb, b.umi AS ub FROM mol a JOIN mol b ON a.cell = b.cell AND (a.umi <> b.umi OR a.label <> b.label)
- AND list_has_any(a.label, b.label) AND bit_count((xor(a.umi, b.umi) | (xor(a.umi, b.umi) >> 1)) & 21845) <= 1
- WHERE a.umi = b.umi OR a.n > 2 * b.n - 1 OR NOT (b.n > 2 * a.n - 1))"""
+_EDGE = f"""{_MOL}, near AS (SELECT cell, label, umi, n, ref, i, umi & ~(3::BIGINT << (2 * i)) AS masked FROM (SELECT *, unnest(label) AS ref FROM mol), range(4) x(i)),
+ edge AS (SELECT DISTINCT a.cell, a.label AS la, a.umi AS ua, b.label AS lb, b.umi AS ub FROM near a JOIN near b ON a.cell = b.cell AND a.ref = b.ref AND a.i = b.i AND a.masked = b.masked
+ WHERE (a.umi <> b.umi OR a.label <> b.label) AND (a.umi = b.umi OR a.n > 2 * b.n - 1 OR NOT (b.n > 2 * a.n - 1)))"""
 
 
 def _molecules(spark, d):
@@ -424,9 +419,9 @@ def u10_components(spark, d):
     def kernel(cell, rows):
         rows = sorted(rows, key=lambda r: (r["label"], r["umi"]))
         out = kernels.molecule_graph([tuple(r["label"]) for r in rows], [r["umi"] for r in rows], [r["n"] for r in rows])
-        yield cell, len(kernels.weak_components(out)), len(rows)
+        yield len(kernels.weak_components(out)), len(rows)
 
-    return kernels.by_cell(_molecules(spark, d), kernel, "cell long, n_components long, n_molecules long")
+    return kernels.by_cell(_molecules(spark, d), kernel, "n_components long, n_molecules long")
 
 
 @query()
@@ -451,31 +446,41 @@ def e4_unique_and_shared(spark, d):
     return w.groupBy("cell").agg(F.count(F.when(F.size("label") == 1, 1)).alias("unique_n"), F.count(F.when(F.size("label") > 1, 1)).alias("shared_n"))
 
 
-_EM_SQL = """targets AS (SELECT cell, g, coalesce(sum(n) FILTER (WHERE k = 1), 0)::DOUBLE AS u FROM (SELECT cell, n, len(label) AS k, unnest(label) AS g FROM cls) GROUP BY ALL),
-memb AS (SELECT cell, row_number() OVER () AS c, n, label FROM cls WHERE len(label) > 1), mm AS (SELECT cell, c, n, unnest(label) AS g FROM memb),
+_KIN = "kin AS (SELECT cell, g, g AS h FROM targets)"
+#: In spliced mode the ambiguous slot weighs in with the others of its gene, and they with it.
+_KIN_SPLICED = f"""kin AS (SELECT a.cell, a.g, b.g AS h FROM targets a JOIN targets b ON a.cell = b.cell AND a.g % {SPLICED_GENES} = b.g % {SPLICED_GENES}
+ AND (a.g = b.g OR a.g // {SPLICED_GENES} = 2 OR b.g // {SPLICED_GENES} = 2))"""
+
+
+def _em_sql(kin: str = _KIN, last: bool = False) -> str:
+    """em: rounds over classes cls (cell, label, n); fin: what they give, with last after one round more of the cells that settled."""
+    split = """SELECT m.cell, m.g, sum(m.n * a.w / d.s) AS add FROM mm m JOIN {w} a ON a.cell = m.cell AND a.g = m.g
+    JOIN (SELECT m2.cell, m2.c, sum(a2.w) AS s FROM mm m2 JOIN {w} a2 ON a2.cell = m2.cell AND a2.g = m2.g GROUP BY ALL) d ON d.cell = m.cell AND d.c = m.c WHERE d.s > 0 GROUP BY ALL"""
+    weigh = "(SELECT k.cell, k.g, sum(e0.alpha) AS w FROM {t} e0 JOIN kin k ON k.cell = e0.cell AND k.h = e0.g GROUP BY ALL)"
+    out = f"""targets AS (SELECT cell, g, coalesce(sum(n) FILTER (WHERE k = 1), 0)::DOUBLE AS u FROM (SELECT cell, n, len(label) AS k, unnest(label) AS g FROM cls) GROUP BY ALL),
+{kin}, memb AS (SELECT cell, row_number() OVER () AS c, n, label FROM cls WHERE len(label) > 1), mm AS (SELECT cell, c, n, unnest(label) AS g FROM memb),
 em(cell, g, alpha, k, done) AS (SELECT cell, g, (u + 0.5) * 1e-3, 0, false FROM targets
  UNION ALL SELECT cell, g, new, k + 1, k + 1 >= 2 AND bool_and(NOT (new > 0.01 AND abs(new - alpha) > 0.01)) OVER (PARTITION BY cell) FROM (
   SELECT e.cell, e.g, e.alpha, e.k, t.u + coalesce(x.add, 0) AS new FROM em e JOIN targets t ON t.cell = e.cell AND t.g = e.g
-  LEFT JOIN (SELECT m.cell, m.g, sum(m.n * a.alpha / d.s) AS add FROM mm m JOIN em a ON a.cell = m.cell AND a.g = m.g
-    JOIN (SELECT m2.cell, m2.c, sum(a2.alpha) AS s FROM mm m2 JOIN em a2 ON a2.cell = m2.cell AND a2.g = m2.g GROUP BY ALL) d ON d.cell = m.cell AND d.c = m.c GROUP BY ALL) x ON x.cell = e.cell AND x.g = e.g
+  LEFT JOIN ({split.format(w=weigh.format(t="em"))}) x ON x.cell = e.cell AND x.g = e.g
   WHERE NOT e.done AND e.k < 100)),
-fin AS (SELECT cell, g, max_by(alpha, k) AS n FROM em GROUP BY cell, g)"""
+cut AS (SELECT cell, g, CASE WHEN alpha < 0.01 THEN 0 ELSE alpha END AS alpha, done FROM (SELECT cell, g, max_by(alpha, k) AS alpha, max_by(done, k) AS done FROM em GROUP BY cell, g))"""
+    if not last:
+        return out + ", fin AS (SELECT cell, g, alpha AS n FROM cut)"
+    return out + f""", fin AS (SELECT c.cell, c.g, CASE WHEN c.done THEN t.u + coalesce(x.add, 0) ELSE c.alpha END AS n FROM cut c JOIN targets t ON t.cell = c.cell AND t.g = c.g
+ LEFT JOIN ({split.format(w=weigh.format(t="cut"))}) x ON x.cell = c.cell AND x.g = c.g)"""
 
 
-@query(f"""WITH RECURSIVE {base.SQL_LABELLED}, {base.SQL_VOTES}, cls AS (SELECT cell, label, count(*) AS n FROM won WHERE cell < 64 GROUP BY ALL), {_EM_SQL}
-SELECT cell, g AS gid, round(n, 4) AS n FROM fin WHERE n >= 0.01""")
-def e1_expectation_maximisation(spark, d):
-    c = resolve.class_counts(resolve.votes_winner_take_all(base.labelled(spark, d).filter("cell < 64")))
-    return quant.abundances(c).withColumn("n", F.round("n", 4))
+_EM_OUT = "SELECT cell, g AS gid, round(n, 4) AS n FROM fin WHERE n >= 0.01"
+_CLASSES = "cls AS (SELECT cell, label, count(*) AS n FROM won GROUP BY ALL)"
 
 
-@query()
-def e1_all_cells(spark, d):
-    """As e1_expectation_maximisation, of every cell: too many for the recursive SQL, tests hold it against brute force."""
+@query(f"WITH RECURSIVE {base.SQL_LABELLED}, {base.SQL_VOTES}, {_CLASSES}, {_em_sql()} {_EM_OUT}")
+def e1_expectation_maximisation(spark, d):
     return quant.abundances(resolve.class_counts(resolve.votes_winner_take_all(base.labelled(spark, d)))).withColumn("n", F.round("n", 4))
 
 
-@query()
+@query(f"WITH RECURSIVE {_VOTED}, f AS (SELECT cell, n, label, unnest(label) AS x FROM c), s AS (SELECT cell, n, label, {_SLOT} AS slot FROM f), cls AS (SELECT cell, list(slot ORDER BY slot) AS label, any_value(n) AS n FROM s WHERE slot IS NOT NULL GROUP BY cell, s.label), {_em_sql(_KIN_SPLICED, True)} {_EM_OUT}")
 def e3_spliced_em(spark, d):
     return quant.quantify(base.spliced_labels(spark, d), "cr-like-em", 0, genes=SPLICED_GENES).withColumn("n", F.round("n", 4))
 
@@ -486,7 +491,7 @@ def e6_bootstrap(spark, d):
     return quant.replicate_summary(quant.replicates(c, 5), 5)
 
 
-@query()
+@query(f"WITH RECURSIVE {base.SQL_LABELLED}, {base.SQL_VOTES}, {_CLASSES}, {_em_sql(last=True)} {_EM_OUT}")
 def e7_infer(spark, d):
     ids, matrix = resolve.dictionary(resolve.class_counts(resolve.votes_winner_take_all(base.labelled(spark, d))))
     return quant.infer(matrix, ids).withColumn("n", F.round("n", 4))
@@ -509,12 +514,91 @@ def u15_long_reads(spark, d):
     return quant.long_read_counts(r.withColumn("probs", p)).withColumn("n", F.round("n", 4))
 
 
+# ---- a named transcript-to-gene map, and several samples ----
+
+_MAP = "first AS (SELECT p_partkey % 200 AS tid, arg_min(p_brand, p_partkey) AS gene FROM part GROUP BY 1), t2g AS (SELECT tid, dense_rank() OVER (ORDER BY gene) - 1 AS gid FROM first)"
+_NAMED = f"{tables.READS_SQL}, {_MAP}, lab AS (SELECT cell, umi, (SELECT list_sort(list(DISTINCT gid)) FROM t2g WHERE list_contains(r.refs, tid)) AS label FROM reads r)"
+
+
+def _brand_genes(spark, d, transcripts: int = 200):
+    """tid, gid: a transcript's gene is the brand of its first part, numbered by name."""
+    first = spark.read.parquet(f"{d}/part.parquet").groupBy((F.col("p_partkey") % transcripts).alias("tid")).agg(F.min_by("p_brand", "p_partkey").alias("gene"))
+    names = first.select("gene").distinct().select("gene", (F.row_number().over(W.orderBy("gene")) - 1).alias("gid"))  # a row for each brand
+    return first.join(names, "gene").select("tid", "gid")
+
+
+def _named(spark, d, resolution: str):
+    return quant.quantify(tables.graph_reads(spark, d), resolution, 0, t2g=_brand_genes(spark, d, 16)).withColumn("n", F.round("n", 4))
+
+
+@query(f"WITH {_NAMED}, {base.SQL_VOTES} SELECT cell, label[1] AS gid, count(*)::DOUBLE AS n FROM won WHERE len(label) = 1 GROUP BY ALL")
+def u17_cr_like_named_genes(spark, d):
+    return quant.quantify(tables.reads(spark, d).select("cell", "umi", F.col("refs").alias("label")), "cr-like", 0, t2g=_brand_genes(spark, d))
+
+
+@query(f"WITH RECURSIVE {_NAMED}, {base.SQL_VOTES}, {_CLASSES}, {_em_sql()} {_EM_OUT}")
+def u17_cr_like_em(spark, d):
+    return quant.quantify(tables.reads(spark, d).select("cell", "umi", F.col("refs").alias("label")), "cr-like-em", 0, t2g=_brand_genes(spark, d)).withColumn("n", F.round("n", 4))
+
+
+@query()
+def u17_parsimony(spark, d):
+    return _named(spark, d, "parsimony")
+
+
+@query()
+def u17_parsimony_gene(spark, d):
+    return _named(spark, d, "parsimony-gene")
+
+
+@query()
+def u17_parsimony_gene_em(spark, d):
+    return _named(spark, d, "parsimony-gene-em")
+
+
+_SAMPLED = f"""{tables.READS_SQL}, lab AS (SELECT sample, cell, umi, list_sort(list_distinct(list_transform(refs, lambda t: t // {GENES_OF}))) AS label FROM reads),
+votes AS (SELECT sample, cell, umi, g, count(*) AS v FROM (SELECT sample, cell, umi, unnest(label) AS g FROM lab) GROUP BY ALL),
+won AS (SELECT sample, cell, umi, list(g ORDER BY g) AS label FROM (SELECT *, max(v) OVER (PARTITION BY sample, cell, umi) AS top FROM votes) WHERE v = top GROUP BY sample, cell, umi),
+c AS (SELECT sample, cell, label[1] AS gid, count(*)::DOUBLE AS n FROM won WHERE len(label) = 1 GROUP BY ALL)"""
+_BY_SAMPLE = ("sample", "cell")
+
+
+def _sample_counts(spark, d):
+    return quant.quantify(tables.reads(spark, d).select("sample", "cell", "umi", F.col("refs").alias("label")), "cr-like", 0, transcripts_per_gene=GENES_OF, keys=_BY_SAMPLE)
+
+
+@query(f"WITH {_SAMPLED} SELECT sample, cell, gid, n FROM c")
+def q_samples(spark, d):
+    """Equal cell barcodes of different samples stay apart."""
+    return _sample_counts(spark, d)
+
+
+@query(f"""WITH {_SAMPLED}, m AS (SELECT sample, cell, count(*) AS mapped_reads FROM lab GROUP BY ALL), u AS (SELECT sample, cell, count(*) AS k FROM reads WHERE NOT fw GROUP BY ALL),
+p AS (SELECT sample, cell, sum(n) AS dedup, count(*) AS genes FROM c GROUP BY ALL)
+SELECT sample, cell, mapped_reads + coalesce(k, 0) AS corrected_reads, mapped_reads, coalesce(dedup, 0) AS deduplicated_reads, coalesce(dedup, 0) / mapped_reads AS dedup_rate, coalesce(genes, 0) AS num_genes_expressed
+FROM m LEFT JOIN u USING (sample, cell) LEFT JOIN p USING (sample, cell)""")
+def q_sample_features(spark, d):
+    reads = tables.reads(spark, d)
+    out = quant.features(_sample_counts(spark, d), permit.histogram(reads, _BY_SAMPLE), permit.histogram(reads.filter("not fw"), _BY_SAMPLE), _BY_SAMPLE)
+    return out.select("sample", "cell", "corrected_reads", "mapped_reads", "deduplicated_reads", "dedup_rate", "num_genes_expressed")
+
+
+@query(f"""WITH {base.SQL_LABELLED}, {base.SQL_VOTES}, {_SMALL}, c AS (SELECT cell, count(*) FILTER (WHERE len(label) = 1) AS k1 FROM won GROUP BY cell)
+SELECT s.cell, s.k AS n_reads, s.k < t AS tiny, false AS voted, coalesce(k1, 0) = 0 AS empty FROM sz s LEFT JOIN c USING (cell), thr""")
+def k8_resolved_lists(spark, d):
+    """Which cells were resolved in another way, and which have no counts."""
+    reads = base.labelled(spark, d)
+    mean = reads.groupBy("cell").count().agg(F.round(F.avg("count")).cast("long")).first()[0]
+    found = quant.molecules(reads, "cr-like", mean)
+    return quant.resolved_lists(found, quant.counts_of(found, "cr-like"))
+
+
 @query(f"""WITH {base.SQL_LABELLED}, {base.SQL_VOTES}, c AS (SELECT cell, label[1] AS gid, count(*)::DOUBLE AS n FROM won WHERE len(label) = 1 GROUP BY ALL),
 m AS (SELECT cell, count(*) AS mapped_reads FROM lab GROUP BY cell), u AS (SELECT cell, count(*) AS k FROM reads WHERE NOT fw GROUP BY cell),
 p AS (SELECT cell, sum(n) AS deduplicated_reads, max(n) AS top, count(*) AS num_genes_expressed, avg(n) AS mean FROM c GROUP BY cell),
 o AS (SELECT c.cell, count(*) AS num_genes_over_mean FROM c JOIN p USING (cell) WHERE n > mean GROUP BY c.cell)
 SELECT cell, mapped_reads + coalesce(k, 0) AS corrected_reads, mapped_reads, deduplicated_reads, mapped_reads::DOUBLE / (mapped_reads + coalesce(k, 0)) AS mapping_rate,
-(mapped_reads - deduplicated_reads) / mapped_reads AS dedup_rate, deduplicated_reads / num_genes_expressed / top AS mean_by_max, num_genes_expressed, coalesce(num_genes_over_mean, 0) AS num_genes_over_mean
+deduplicated_reads / mapped_reads AS dedup_rate, deduplicated_reads / num_genes_expressed / top AS mean_by_max, num_genes_expressed, coalesce(num_genes_over_mean, 0) AS num_genes_over_mean
 FROM m JOIN p USING (cell) LEFT JOIN u USING (cell) LEFT JOIN o USING (cell)""")
 def a10_cell_features(spark, d):
     reads = tables.reads(spark, d)
@@ -591,9 +675,12 @@ def a12_genome_bins(spark, d):
     return atac.bins(tables.atac_reads(spark, d))
 
 
-@query("SELECT i AS chr, (1000000 + 50000 * i + 99999) // 100000 AS n_bins, coalesce(sum((1000000 + 50000 * i + 99999) // 100000) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_bin FROM range(25) r(i)")
+@query("""WITH l AS (SELECT l_suppkey % 25 AS chr, max((l_quantity * 1000)::BIGINT * (1 + l_suppkey % 25)) AS len FROM lineitem GROUP BY 1)
+SELECT chr, (len + 99999) // 100000 AS n_bins, coalesce(sum((len + 99999) // 100000) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_bin FROM l""")
 def s19_bin_offsets(spark, d):
-    return atac.bin_offsets(spark.range(25).select(F.col("id").alias("chr"), (1000000 + 50000 * F.col("id")).alias("len")))
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    length = (F.col("l_quantity") * 1000).cast("long") * (1 + F.col("l_suppkey") % 25)
+    return atac.bin_offsets(li.groupBy((F.col("l_suppkey") % 25).alias("chr")).agg(F.max(length).alias("len")))
 
 
 _FRAGS = f"{tables.ATAC_SQL}, f AS (SELECT chr, start, frag_len, bc, count(*) AS n FROM areads WHERE na = 1 GROUP BY ALL HAVING frag_len < 2000)"

@@ -27,7 +27,7 @@ def bed_lines(frags: DataFrame, names: DataFrame, length: int, reverse: bool = F
 
     dna = unpack(F.col("bc"), length)
     line = F.concat_ws("\t", "name", F.col("start").cast("string"), (F.col("start") + F.col("frag_len")).cast("string"), reverse_complement(dna) if reverse else dna, F.col("n").cast("string"))
-    return frags.join(F.broadcast(names), "chr").orderBy("chr", "start", "frag_len", "bc").select(line.alias("value"))  # a row for each chromosome
+    return frags.join(names, "chr").orderBy("chr", "start", "frag_len", "bc").select(line.alias("value"))
 
 
 def write_bed(frags: DataFrame, names: DataFrame, length: int, path: str, compress: bool = False, reverse: bool = False) -> None:
