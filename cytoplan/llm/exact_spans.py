@@ -2,14 +2,16 @@
 
 1. Every 100-byte window picks its least 32-byte gram (ties: the leftmost) as its anchor, so equal windows have equal anchors at the
    same place. One row per anchor: the gram's hash, the hash of its context (the bytes of all windows that picked it), the place.
-   Equal contexts within a task leave one row, so a hot passage gives a row for each task and not for each document.
-2. Dealt and sorted by the gram, all but the first of equal contexts are repeats as a whole. Grams that have several contexts go on.
-3. The bytes of those contexts (only first occurrences) are gathered by gram; a two-stage suffix array and common prefixes of its
-   neighbours give the classes of equal windows, and all but the first of a class are repeats. Grams with very many contexts go
-   window by window instead: the least place for each window hash, by a partial aggregation and a join that AQE can split.
+   Hashes only choose what is compared. Contexts of equal hashes within a task are compared there, by the common prefix of their
+   bytes, and all but the first of equal ones are repeats as a whole; so a hot passage leaves a row for each task, not for each document.
+2. Dealt and sorted by the gram, the rows of grams that occur more than once go on; their contexts' bytes are fetched and dealt by the gram.
+3. There the common prefix with its neighbour tells whether a context repeats one before it as a whole. Of the others, a two-stage
+   suffix array and common prefixes of its neighbours give the classes of equal windows; all but the first of a class are repeats.
+   The windows of grams with very many contexts go singly, dealt by the window, after the same comparison within each task.
 4. The repeats of each document are united and cut out.
 
-Memory in a task is bounded by Arrow batches and BATCH_BYTES; only counts reach the driver.
+Every removed byte lies in a span whose bytes were compared. Memory in a task is bounded by Arrow batches and BATCH_BYTES; only counts
+reach the driver.
 """
 
 from __future__ import annotations
@@ -19,16 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import _LETTERS, U64, aside, bounded_batches, materialize, mix, power_table, text_chunks
-from .suffix_array import adjacent_common, suffix_array
+from .suffix_array import adjacent_common, common_prefix, padded, suffix_array
 
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1
 #: Rows that a task combines at once, bytes of one suffix array, and contexts of one gram from which windows are dealt singly.
-COMBINE_ROWS, BATCH_BYTES, HOT_CONTEXTS = 1_500_000, 1 << 20, 4000
+COMBINE_ROWS, BATCH_BYTES, HOT_CONTEXTS = 1_000_000, 1 << 20, 4000
 #: Stands for a null doc_id: such a document comes last.
 LAST_ID = 2**63 - 1
 
@@ -71,15 +74,12 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return mix(gram[pick]).view(np.int64), context.view(np.int64), np.searchsorted(offs, lo, "right") - 1, pick, lo, hi
 
 
-def window_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each window of one context."""
+def window_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each window of one context."""
     x = np.frombuffer(data, np.uint8)
-    out = []
-    for letters in (_LETTERS, mix(_LETTERS)):
-        total = np.zeros(len(x) + 1, U64)
-        np.cumsum(letters[x] * power_table("up", len(x)), out=total[1:])
-        out.append(mix((total[WINDOW:] - total[:-WINDOW]) * power_table("down", len(x))[: len(x) - WINDOW + 1]).view(np.int64))
-    return out[0], out[1]
+    total = np.zeros(len(x) + 1, U64)
+    np.cumsum(_LETTERS[x] * power_table("up", len(x)), out=total[1:])
+    return mix((total[WINDOW:] - total[:-WINDOW]) * power_table("down", len(x))[: len(x) - WINDOW + 1]).view(np.int64)
 
 
 def _pack(place: np.ndarray, before: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -87,19 +87,24 @@ def _pack(place: np.ndarray, before: np.ndarray, more: np.ndarray) -> np.ndarray
     return place << 32 | before << 16 | more
 
 
-def _combine(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    h, c, doc, pack = (np.concatenate(x) for x in zip(*parts, strict=True))
+def _combine(parts: list[tuple[np.ndarray, ...]], chunks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows of first contexts, and spans of those that repeat one of the same task; parts hold where their bytes begin in the chunks."""
+    h, c, doc, pack, at = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((pack, doc, c, h))
-    h, c, doc, pack = h[order], c[order], doc[order], pack[order]
+    h, c, doc, pack, at = h[order], c[order], doc[order], pack[order], at[order]
+    alike = np.flatnonzero((h[1:] == h[:-1]) & (c[1:] == c[:-1])) + 1
+    size = (pack & 0xFFFF) + WINDOW
     again = np.zeros(len(h), bool)
-    again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-    # A repeat found here needs no comparison: it goes on as a span of its document, marked by its negative pack.
+    if len(alike):
+        raw = padded(np.concatenate(chunks))
+        again[alike] = (size[alike] == size[alike - 1]) & (common_prefix(raw, at[alike - 1], at[alike], size[alike]) >= size[alike])
+    # A repeat found here goes on as a span of its document, marked by its negative pack.
     start = (pack >> 32) - (pack >> 16 & 0xFFFF)
     same_place = np.zeros(len(h), bool)
     same_place[1:] = again[1:] & (doc[1:] == doc[:-1]) & (pack[1:] == pack[:-1])
     span = again & ~same_place
     yield pa.RecordBatch.from_arrays([pa.array(x[~again]) for x in (h, c, doc, pack)], ["h", "c", "doc", "pack"])
-    d, a, b = _united(doc[span], start[span], start[span] + (pack[span] & 0xFFFF) + WINDOW)
+    d, a, b = _united(doc[span], start[span], start[span] + size[span])
     if len(d):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mix(d.astype(U64)).view(np.int64), b, d, -1 - a)], ["h", "c", "doc", "pack"])
 
@@ -120,83 +125,126 @@ def _united(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts, n = [], 0
+    parts, chunks, n, size = [], [], 0, 0
     for batch in batches:
         ids = batch.column(0).to_numpy()
         for lo, _, data, offs in text_chunks(batch):
             h, c, row, pick, first, last = anchors(data, offs)
             if len(h):
-                parts.append((h, c, ids[lo + row], _pack(pick - offs[row], pick - first, last - first)))
-                n += len(h)
+                parts.append((h, c, ids[lo + row], _pack(pick - offs[row], pick - first, last - first), size + first))
+                chunks.append(data)
+                n, size = n + len(h), size + len(data)
             if n >= COMBINE_ROWS:
-                yield from _combine(parts)
-                parts, n = [], 0
+                yield from _combine(parts, chunks)
+                parts, chunks, n, size = [], [], 0, 0
     if parts:
-        yield from _combine(parts)
+        yield from _combine(parts, chunks)
 
 
-_FOUND = "kind int, h long, doc long, a long, b long, place long"
+_FOUND = "kind int, h long, c long, doc long, a int, n int"
 
 
-def _compare_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram, context and place become spans (kind 0) and contexts to compare (kind 1: their bytes a to b, anchor at place)."""
-    held = None  # the last row: h, c, doc, pack, whether its context is its gram's first, as ints
-    pending = None  # the only context of a gram so far
+def _open_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by gram, context and place become spans (kind 0) and the contexts to compare (kind 1), each n bytes from a.
+
+    A gram's first row goes out once its second one is met; a row of the same place and context as the one before it is left out.
+    A gram of more than HOT_CONTEXTS different contexts is named in a row of kind 2.
+    """
+    held = None  # the last row: h, c, doc, pack
+    pending = None  # the only row of a gram so far
+    kinds = 0  # different contexts of the last gram so far
     for batch in batches:
         if not batch.num_rows:
             continue
         h, c, doc, pack = (batch.column(i).to_numpy() for i in range(4))
         spans = pack < 0
-        out = [(0, h[spans], doc[spans], -1 - pack[spans], c[spans], 0 * h[spans])]
+        out = [(0, h[spans], 0 * h[spans], doc[spans], -1 - pack[spans], c[spans] + 1 + pack[spans])]
         h, c, doc, pack = h[~spans], c[~spans], doc[~spans], pack[~spans]
         if len(h):
-            lead_h = np.concatenate(([held is not None and held[0] == h[0]], h[1:] == h[:-1]))
-            lead_c = lead_h & np.concatenate(([held is not None and held[1] == c[0]], c[1:] == c[:-1]))
-            place = pack >> 32
-            start = place - (pack >> 16 & 0xFFFF)
-            end = start + (pack & 0xFFFF) + WINDOW
-            same = np.concatenate(([held is not None and held[2:] == (doc[0], pack[0])], (doc[1:] == doc[:-1]) & (pack[1:] == pack[:-1])))
-            out.append((0, h[lead_c & ~same], doc[lead_c & ~same], start[lead_c & ~same], end[lead_c & ~same], place[lead_c & ~same]))
-            head = np.flatnonzero(~lead_c)  # first occurrences of contexts
-            gram_first = ~lead_h[head]
-            follows = np.concatenate((~gram_first[1:], [False])) if len(head) else np.zeros(0, bool)
-            wanted = ~gram_first | follows
-            if len(head) and not gram_first[0] and pending is not None:
+            same = np.concatenate(([held == (h[0], c[0], doc[0], pack[0])], (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (doc[1:] == doc[:-1]) & (pack[1:] == pack[:-1])))
+            follows_last = held is not None and held[0] == h[0]
+            other = ~np.concatenate(([follows_last and held[1] == c[0]], (h[1:] == h[:-1]) & (c[1:] == c[:-1])))
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            many = np.add.reduceat(other.astype(np.int64), first)
+            many[0] += kinds if follows_last else 0
+            hot = many > HOT_CONTEXTS
+            hot[0] &= not (follows_last and kinds > HOT_CONTEXTS)
+            kinds = int(many[-1])
+            if hot.any():
+                zero = 0 * h[first[hot]]
+                out.append((2, h[first[hot]], zero, zero, zero, zero))
+            held = (h[-1], c[-1], doc[-1], pack[-1])
+            h, c, doc, pack = h[~same], c[~same], doc[~same], pack[~same]
+        if len(h):
+            lead = np.concatenate(([follows_last], h[1:] == h[:-1]))
+            wanted = lead | np.concatenate((lead[1:], [False]))
+            start = (pack >> 32) - (pack >> 16 & 0xFFFF)
+            size = (pack & 0xFFFF) + WINDOW
+            if lead[0] and pending is not None:
                 out.append((1, *(np.array([x]) for x in pending)))
                 pending = None
-            if len(head):
-                last = head[-1]
-                pending = (h[last], doc[last], start[last], end[last], place[last]) if gram_first[-1] else None
-            pick = head[wanted]
-            out.append((1, h[pick], doc[pick], start[pick], end[pick], place[pick]))
-            held = (h[-1], c[-1], doc[-1], pack[-1])
-        for kind, *cols in out:
-            if len(cols[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), kind, np.int32)), *(pa.array(x) for x in cols)], ["kind", "h", "doc", "a", "b", "place"])
+            if not wanted[-1]:
+                pending = (h[-1], c[-1], doc[-1], start[-1], size[-1])
+            elif len(h) > 1 or not lead[0]:
+                pending = None
+            out.append((1, *(x[wanted] for x in (h, c, doc, start, size))))
+        for kind, hh, cc, dd, aa, nn in out:
+            if len(hh):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hh), kind, np.int32)), pa.array(hh), pa.array(cc), pa.array(dd), pa.array(aa.astype(np.int32)), pa.array(nn.astype(np.int32))], ["kind", "h", "c", "doc", "a", "n"])
+
+
+_PART = "h long, c long, doc long, a int, part binary, hot boolean"
 
 
 def _slice_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text, list of contexts) becomes a row for each context with its bytes, or for each of its windows where the gram is hot."""
+    """(doc, other columns, text, list of contexts) becomes a row for each context with its bytes; a hot gram's becomes a row for each window.
+
+    Windows that also occur earlier in the batch are compared here: of equal ones the first goes on, and the others are spans (no part).
+    """
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
     for batch in batches:
-        docs, rows, out = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
-        for lo, _, data, offs in text_chunks(batch):
+        docs, out, hot = batch.column(0).to_numpy(), [], []
+        lists = batch.column(batch.num_columns - 1)
+        ends, flat = lists.offsets.to_numpy(), lists.values
+        h, c, a, n, is_hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+        for lo, hi, data, offs in text_chunks(batch, batch.schema.names[-2]):
             raw = data.tobytes()
-            for i in range(len(offs) - 1):
-                text = raw[offs[i] : offs[i + 1]]
-                for x in rows[lo + i]:
-                    if x["b"] > len(text):
-                        continue  # of a different text under the same doc_id
-                    part = text[x["a"] : x["b"]]
-                    if x["hot"]:
-                        one, two = window_hashes(part)
-                        out += [(p, docs[lo + i], x["a"] + j, q, None) for j, (p, q) in enumerate(zip(one.tolist(), two.tolist(), strict=True))]
-                    else:
-                        out.append((x["h"], docs[lo + i], x["a"], None, part))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["h", "doc", "a", "w", "part"])
-
-
-def repeated_windows(parts: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            x = slice(int(ends[lo]), int(ends[hi]))
+            row = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+            begin = offs[row] + a[x]
+            fits = begin + n[x] <= offs[row + 1]  # else of a different text under the same doc_id
+            take = np.flatnonzero(fits & ~is_hot[x])
+            if len(take):
+                parts = [raw[i : i + k] for i, k in zip(begin[take].tolist(), n[x][take].tolist(), strict=True)]
+                out.append([pa.array(h[x][take]), pa.array(c[x][take]), pa.array(docs[lo + row[take]]), pa.array(a[x][take]), pa.array(parts, pa.binary()), pa.array(np.zeros(len(take), bool))])
+            for i in np.flatnonzero(fits & is_hot[x]).tolist():
+                hot.append((int(docs[lo + row[i]]), int(a[x][i]), raw[int(begin[i]) : int(begin[i] + n[x][i])]))
+        for cols in out:
+            yield pa.RecordBatch.from_arrays(cols, ["h", "c", "doc", "a", "part", "hot"])
+        if hot:
+            part, doc, at = [x[2] for x in hot], np.array([x[0] for x in hot]), np.array([x[1] for x in hot])
+            rows = []
+            seen = set()
+            for d, p, text in hot:
+                for j, w in enumerate(window_hashes(text).tolist()):
+                    if (w, d, p + j) not in seen:
+                        seen.add((w, d, p + j))
+                        rows.append((w, d, p + j, text[j : j + WINDOW]))
+            gone = _starts(*repeated_windows(part, doc, at, united=False))
+            first = [r for r in rows if (r[1], r[2]) not in gone]
+            if first:
+                cols = list(zip(*first, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip((cols[0], cols[0], cols[1], cols[2], cols[3], [True] * len(first)), kinds, strict=True)], ["h", "c", "doc", "a", "part", "hot"])
+            if gone:
+                d, a0 = zip(*sorted(gone), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(mix(np.array(d).astype(U64)).view(np.int64)), pa.array([0] * len(d), pa.int64()), pa.array(list(d), pa.int64()), pa.array(list(a0), pa.int32()), pa.array([None] * len(d), pa.binary()), pa.array([True] * len(d))], ["h", "c", "doc", "a", "part", "hot"])
+
+
+def _starts(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> set[tuple[int, int]]:
+    return set(zip(doc.tolist(), start.tolist(), strict=True))
+
+
+def repeated_windows(parts: list[bytes], doc: np.ndarray, start: np.ndarray, united: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (document, start, end) of the contexts' windows that also occur at an earlier place among these contexts."""
     size = np.array(list(map(len, parts)), np.int64)
     begin = np.cumsum(np.concatenate(([0], size[:-1] + 1)))
@@ -210,41 +258,82 @@ def repeated_windows(parts: list[bytes], doc: np.ndarray, start: np.ndarray) ->
     order = order[valid[order]]
     same = adjacent_common(raw, order, WINDOW) >= WINDOW
     d, p = doc[which[order]], start[which[order]] + inside[order]
+    place = np.lexsort((p, d))
+    fresh = np.concatenate(([True], (d[place][1:] != d[place][:-1]) | (p[place][1:] != p[place][:-1])))
     rank = np.empty(len(order), np.int64)
-    rank[np.lexsort((p, d))] = np.arange(len(order))
+    rank[place] = np.cumsum(fresh)  # a place that is there twice is no repeat of itself
     run = np.flatnonzero(np.concatenate(([True], ~same)))
     least = np.repeat(np.minimum.reduceat(rank, run), np.diff(np.append(run, len(order))))
     again = rank != least
-    return _united(d[again], p[again], p[again] + WINDOW)
+    found = d[again], p[again], p[again] + WINDOW
+    return _united(*found) if united else found
+
+
+def _whole_repeats(table: pa.Table) -> tuple[pa.Table, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of contexts sorted by gram, context hash and place, those that are no whole repeat of one before them, and the spans of the others."""
+    h, c, doc, a = (table[k].to_numpy() for k in ("h", "c", "doc", "a"))
+    parts = table["part"].combine_chunks()
+    offs = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1].astype(np.int64)
+    raw = padded(np.frombuffer(parts.buffers()[2], np.uint8)[: offs[-1]])
+    size = np.diff(offs)
+    alike = np.flatnonzero((h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (size[1:] == size[:-1])) + 1
+    again = np.zeros(len(h), bool)
+    again[alike] = common_prefix(raw, offs[alike - 1], offs[alike], size[alike]) >= size[alike]
+    whose = np.flatnonzero(~again)[np.cumsum(~again) - 1]
+    span = again & ((doc != doc[whose]) | (a != a[whose]))
+    return table.filter(pa.array(~again)), (doc[span], a[span].astype(np.int64), a[span].astype(np.int64) + size[span])
 
 
 def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram: whole grams are taken together until there is enough text for a suffix array."""
+    """Rows sorted by gram, context hash and place: whole grams are taken together until there is enough text for a suffix array.
+
+    Of a gram with more text than that, contexts that repeat one before them leave at once, so at most HOT_CONTEXTS different ones are held.
+    """
     held: list[pa.RecordBatch] = []
     n = 0
+    last = None
 
-    def close() -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        d, a, b = repeated_windows(table["part"].to_pylist(), table["doc"].to_numpy(), table["a"].to_numpy())
+    def spans(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        d, a, b = _united(d, a, b)
         if len(d):
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(b)], ["doc", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a.astype(np.int32)), pa.array((b - a).astype(np.int32))], ["doc", "a", "n"])
 
-    for batch in batches:
-        batch = batch.select(["h", "doc", "a", "part"])
-        if not batch.num_rows:
-            continue
-        h = batch.column(0).to_numpy()
-        if n >= BATCH_BYTES:
-            cut = int(np.argmax(h != last)) if (h != last).any() else len(h)
-            held.append(batch.slice(0, cut))
-            if cut < len(h):
-                yield from close()
-                held, n = [], 0
-                batch = batch.slice(cut)
-        if batch.num_rows and (not held or held[-1].num_rows == 0 or n < BATCH_BYTES):
+    def close() -> Iterator[pa.RecordBatch]:
+        table, found = _whole_repeats(pa.Table.from_batches(held))
+        yield from spans(*found)
+        # The first contexts of grams that have several go to the suffix array.
+        h = table["h"].to_numpy()
+        several = np.concatenate(([False], h[1:] == h[:-1]))
+        several[:-1] |= several[1:].copy()
+        if several.any():
+            some = table.filter(pa.array(several))
+            yield from spans(*repeated_windows(some["part"].to_pylist(), some["doc"].to_numpy(), some["a"].to_numpy().astype(np.int64)))
+
+    for whole in batches:
+        early = pc.is_null(whole.column(whole.schema.get_field_index("part")))
+        if pc.any(early).as_py():  # windows that were found before
+            gone = whole.filter(early)
+            yield pa.RecordBatch.from_arrays([gone.column(2), gone.column(3), pa.array(np.full(gone.num_rows, WINDOW, np.int32))], ["doc", "a", "n"])
+            whole = whole.filter(pc.invert(early))
+        for lo in range(0, whole.num_rows, 5000):
+            batch = whole.slice(lo, 5000).select(["h", "c", "doc", "a", "part"])
+            h = batch.column(0).to_numpy()
+            if n >= BATCH_BYTES:
+                cut = int(np.argmax(h != last)) if (h != last).any() else len(h)
+                if cut:
+                    held.append(batch.slice(0, cut))
+                if cut < len(h):
+                    yield from close()
+                    held, n = [], 0
+                    batch = batch.slice(cut)
+                else:
+                    table, found = _whole_repeats(pa.Table.from_batches(held))
+                    yield from spans(*found)
+                    held, n = table.to_batches(), max(BATCH_BYTES, table.nbytes)
+                    continue
             held.append(batch)
-        n += batch.get_total_buffer_size() if batch.num_rows else 0
-        last = h[-1]
+            n += int(np.sum(pc.binary_length(batch.column(4)).to_numpy()))
+            last = h[-1]
     if held:
         yield from close()
 
@@ -259,7 +348,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = data[offs[i] : offs[i + 1]]
                 removed = runs = 0
                 if spans[lo + i]:
-                    s = np.array([(x["a"], x["b"]) for x in spans[lo + i]], np.int64).clip(0, len(text))
+                    s = np.array([(x["a"], x["a"] + x["n"]) for x in spans[lo + i]], np.int64).clip(0, len(text))
                     _, a, b = _united(np.zeros(len(s), np.int64), s[:, 0], s[:, 1])
                     a, b = a[b > a], b[b > a]
                     edge = np.zeros(len(text) + 1, np.int8)
@@ -276,20 +365,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*other, *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names)
 
 
-def repeated_spans(texts: DataFrame) -> DataFrame:
-    """Spans (doc, a, b) of texts (doc, text) that are covered by windows which also start earlier."""
-    rows = texts.mapInArrow(_anchor_rows, _ROW).repartition("h").sortWithinPartitions("h", "c", "doc", "pack")
-    found = materialize(rows.mapInArrow(_compare_contexts, _FOUND), "contexts")
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """Spans (doc, a, n) of rows (doc, other columns, text) that are covered by windows which also start earlier: n bytes from a."""
+    doc, text = rows.columns[0], rows.columns[-1]
+    rows_of = rows.select(doc, text).toDF("doc", "text").mapInArrow(_anchor_rows, _ROW)
+    found = materialize(rows_of.repartition("h").sortWithinPartitions("h", "c", "doc", "pack").mapInArrow(_open_contexts, _FOUND), "contexts")
     open_ = found.filter("kind = 1")
-    # Written first: its size is known, and AQE can split a hot gram's rows in the join.
-    hot = materialize(open_.groupBy("h").count().filter(F.col("count") > HOT_CONTEXTS).select("h", F.lit(True).alias("hot")), "hot")
-    asked = open_.join(hot, "h", "left").groupBy("doc").agg(F.collect_list(F.struct("h", "a", "b", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
-    parts = materialize(texts.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_slice_contexts, "h long, doc long, a long, w long, part binary"), "parts")
-    small = parts.filter("part is not null").repartition("h").sortWithinPartitions("h").mapInArrow(_sort_suffixes, "doc long, a long, b long")
-    each = parts.filter("part is null").select("h", "w", "doc", "a")
-    least = each.groupBy("h", "w").agg(F.min(F.struct("doc", "a")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = each.join(least, ["h", "w"]).filter("doc != first.doc or a != first.a").select("doc", "a", (F.col("a") + WINDOW).alias("b"))
-    return found.filter("kind = 0").select("doc", "a", "b").unionByName(small).unionByName(again)
+    hot = found.filter("kind = 2").select("h", F.lit(True).alias("hot"))
+    asked = open_.join(hot, "h", "left").groupBy("doc").agg(F.collect_list(F.struct("h", "c", "a", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("asked"))
+    # With all columns of the rows, so that this exchange of the texts serves the last join as well.
+    parts = rows.join(asked.withColumnRenamed("doc", "__of"), F.col(doc) == F.col("__of")).select(*rows.columns, "asked").mapInArrow(_slice_contexts, _PART)
+    compared = parts.repartition("h").sortWithinPartitions("h", "c", "doc", "a").mapInArrow(_sort_suffixes, "doc long, a int, n int")
+    return found.filter("kind = 0").select("doc", "a", "n").unionByName(compared)
 
 
 def cut_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -303,8 +390,9 @@ def cut_repeats(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFra
     bounded_batches(docs)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    spans = repeated_spans(docs.select(order.alias("doc"), text.alias("text"))).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("__spans"))
-    rows = docs.select(order.alias("__doc"), *keep, text.alias("__text")).join(spans, F.col("__doc") == F.col("doc"), "left").select(*keep, "__text", "__spans")
+    texts = docs.select(order.alias("__doc"), *keep, text.alias("__text"))
+    spans = repeated_spans(texts).groupBy("doc").agg(F.collect_list(F.struct("a", "n")).alias("__spans")).select(F.col("doc").alias("__of"), "__spans")
+    rows = texts.join(spans, F.col("__doc") == F.col("__of"), "left").select(*keep, "__text", "__spans")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
     return rows.mapInArrow(_cut, f"{kinds}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 

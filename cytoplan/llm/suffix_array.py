@@ -69,24 +69,35 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def adjacent_common(raw: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each neighbouring pair of starts in `order`, the length of their common prefix in the bytes `raw`, up to `most`."""
-    if len(order) < 2:
-        return np.zeros(0, np.int64)
-    padded = np.concatenate([raw, np.zeros(most + 8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    length, live = np.zeros(len(order) - 1, np.int64), np.arange(len(order) - 1)
-    for at in range(0, most, 8):
-        one = np.ascontiguousarray(words[order[live] + at]).view(np.uint64).ravel()
-        two = np.ascontiguousarray(words[order[live + 1] + at]).view(np.uint64).ravel()
-        differ = one ^ two
+def padded(raw: np.ndarray) -> np.ndarray:
+    """raw with what common_prefix may read beyond its end."""
+    return np.concatenate([raw, np.zeros(8, np.uint8)])
+
+
+def common_prefix(raw: np.ndarray, one: np.ndarray, two: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The length of the common prefix of the bytes of raw (padded) at the places one[i] and two[i], up to most[i].
+
+    Eight bytes are compared at once; the last step steps back, so nothing beyond the prefixes is read but for prefixes under eight bytes.
+    """
+    words = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    length, live = np.zeros(len(one), np.int64), np.flatnonzero(most > 0)
+    while len(live):
+        at = np.minimum(length[live], np.maximum(most[live] - 8, 0))
+        a, b = (np.ascontiguousarray(words[x[live] + at]).view(np.uint64).ravel() for x in (one, two))
+        differ = a ^ b
         equal = differ == 0
         short = ~equal
         if short.any():  # little-endian: the first differing byte is the lowest non-zero one
             low = differ[short] & (~differ[short] + np.uint64(1))
-            length[live[short]] += np.floor(np.log2(low.astype(np.float64))).astype(np.int64) // 8
-        live = live[equal]
-        length[live] += 8
-        if not len(live):
-            break
+            length[live[short]] = at[short] + np.floor(np.log2(low.astype(np.float64))).astype(np.int64) // 8
+        live, at = live[equal], at[equal]
+        length[live] = at + 8
+        live = live[length[live] < most[live]]
     return np.minimum(length, most)
+
+
+def adjacent_common(raw: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """For each neighbouring pair of starts in `order`, the length of their common prefix in the bytes `raw` (zeros beyond its end), up to `most`."""
+    if len(order) < 2:
+        return np.zeros(0, np.int64)
+    return common_prefix(np.concatenate([raw, np.zeros(most + 8, np.uint8)]), order[:-1], order[1:], np.full(len(order) - 1, most))

@@ -43,6 +43,70 @@ def test_bounds_do_not_change_results(table, prose, monkeypatch, rows):
     assert got(exact_spans.cut_repeats(table(more, 5))) == brute(more)
 
 
+@pytest.mark.parametrize("hot", [4000, 2])
+def test_hashes_never_decide(table, prose, monkeypatch, hot):
+    """With hashes of a few values, different contexts and windows fall together; only compared bytes tell them apart."""
+    plain = exact_spans.anchors
+
+    def poor(data, offs):
+        h, c, *rest = plain(data, offs)
+        return h % 3, c % 2, *rest
+
+    monkeypatch.setattr(exact_spans, "anchors", poor)
+    monkeypatch.setattr(exact_spans, "HOT_CONTEXTS", hot)
+    windows = exact_spans.window_hashes
+    monkeypatch.setattr(exact_spans, "window_hashes", lambda data: windows(data) % 5)
+    rows = [r for r in prose if r[0] % 2 or r[0] > 100] + [(1000 + i, t) for i, t in prose[:20]]
+    # Workers import the module anew, so the stages run here.
+    texts = sorted(((i, (t or "").encode()) for i, t in rows))
+    assert spans_here(texts) == {i: mask for (i, _), mask in zip(texts, removed(texts), strict=True)}
+
+
+def removed(texts):
+    """For each text in order, the bytes that go."""
+    seen, out = set(), []
+    for _, b in texts:
+        mask = set()
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                mask |= set(range(i, i + 100))
+            seen.add(b[i : i + 100])
+        out.append(mask)
+    return out
+
+
+def spans_here(texts):
+    """The stages of repeated_spans one after another in this process, over three tasks."""
+    import pyarrow as pa
+
+    def ordered(batches, by):
+        t = pa.Table.from_batches(batches)
+        return t.sort_by([(k, "ascending") for k in by]).combine_chunks().to_batches(max_chunksize=97)
+
+    rows = []
+    for task in range(3):
+        own = texts[task::3]
+        rows += exact_spans._anchor_rows([pa.RecordBatch.from_arrays([pa.array([i for i, _ in own]), pa.array([b for _, b in own], pa.binary())], ["doc", "text"])])
+    found = list(exact_spans._open_contexts(ordered(rows, ["h", "c", "doc", "pack"])))
+    out, asked, hot = {i: set() for i, _ in texts}, {}, set()
+    for b in found:
+        for r in b.to_pylist():
+            if r["kind"] == 0:
+                out[r["doc"]] |= set(range(r["a"], r["a"] + r["n"]))
+            elif r["kind"] == 1:
+                asked.setdefault(r["doc"], []).append(r)
+            else:
+                hot.add(r["h"])
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64()), ("a", pa.int32()), ("n", pa.int32()), ("hot", pa.bool_())]))
+    lists = [[{k: r[k] for k in ("h", "c", "a", "n")} | {"hot": r["h"] in hot} for r in asked[i]] for i, _ in texts if i in asked]
+    some = [(i, b) for i, b in texts if i in asked]
+    parts = list(exact_spans._slice_contexts([pa.RecordBatch.from_arrays([pa.array([i for i, _ in some]), pa.array([b for _, b in some], pa.binary()), pa.array(lists, kind)], ["doc", "text", "asked"])]))
+    for b in exact_spans._sort_suffixes(ordered(parts, ["h", "c", "doc", "a"])):
+        for r in b.to_pylist():
+            out[r["doc"]] |= set(range(r["a"], r["a"] + r["n"]))
+    return out
+
+
 def test_repeats_within_a_document(table):
     rng = random.Random(2)
     unit = "".join(rng.choice("abcdefgh ") for _ in range(130))
