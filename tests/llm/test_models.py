@@ -59,7 +59,7 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
     held = [r for r in rows if r.held_out]
     bad, clean = [r for r in held if r.toxic], [r for r in held if not r.toxic]
-    assert sum(r.predicted for r in bad) > 0.75 * len(bad) and sum(r.predicted for r in clean) < 0.01 * len(clean)
+    assert sum(r.predicted for r in bad) > 0.85 * len(bad) and sum(r.predicted for r in clean) < 0.01 * len(clean)
 
 
 def test_machine_learns_a_pair():
@@ -68,7 +68,7 @@ def test_machine_learns_a_pair():
     a, b = rng.random(2000) < 0.5, rng.random(2000) < 0.5
     rows = np.concatenate([np.flatnonzero(a), np.flatnonzero(b)])
     buckets = np.concatenate([np.full(a.sum(), 11), np.full(b.sum(), 99)])
-    m = toxicity.fit(rows, buckets, (a & b).astype(int), rounds=600)
+    m = toxicity.fit(rows, buckets, (a & b).astype(int))
     r, t = m.pairs(np.array([0, 1, 2, 2]), np.array([11, 99, 11, 99]))
     alone, other, both, none = m.scores(r, t, 4)
     assert both > 0.7 > 0.4 > max(alone, other, none)
@@ -76,6 +76,59 @@ def test_machine_learns_a_pair():
     assert np.isclose(both, 1 / (1 + np.exp(-direct)))
 
 
+def test_training_learns_either_but_not_both(spark, table):
+    """Two words that make a text toxic if just one of them is there: neither tells anything alone."""
+    rng = np.random.default_rng(3)
+    filler = [f"word{i}" for i in range(20)]
+    rows, labels = [], []
+    for i in range(1500):
+        a, b = rng.random(2) < 0.5
+        text = [w for w in filler if rng.random() < 0.3] + ["insult"] * int(a) + ["mention"] * int(b)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(a != b)))
+    out = {r.doc_id: r for r in toxicity.predict(table(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [(out[i].predicted, y) for i, y in labels if out[i].held_out]
+    assert len(held) > 400 and sum(p == y for p, y in held) > 0.97 * len(held)
+
+
+def brute_terms(text):
+    """Distinct terms of a text, spelled out."""
+    out = set()
+    for w in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode()):
+        w = w.lower()
+        out.add(("whole", w))
+        out |= {(n, w[:n]) for n in (4, 5) if len(w) >= n}
+    return out
+
+
+def test_terms_and_scores_match_brute_force(spark, table, prose):
+    import pyarrow as pa
+
+    from cytoplan.llm import common
+
+    texts = [t for _, t in prose] + ["Abcd abcd ABCDE abcdé", "word " * 70000 + "last"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    named, where = {}, {}
+    for lo, _, data, offs in common.text_chunks(batch):
+        row, bucket = toxicity.terms(data, offs)
+        for r, b in zip(row.tolist(), bucket.tolist(), strict=True):
+            where.setdefault(lo + r, set()).add(b)
+    for i, t in enumerate(texts):
+        for term in brute_terms(t):
+            named.setdefault(term, set()).add(i)
+        assert len(where.get(i, set())) <= len(brute_terms(t)) <= len(where.get(i, set())) + 3  # buckets may coincide
+    rng = np.random.default_rng(1)
+    index = np.full(toxicity.BUCKETS, -1, np.int16)
+    known = sorted(set.union(*where.values()))[::3]
+    index[known] = np.arange(len(known))
+    m = toxicity.Machine(-1.0, index, rng.normal(size=len(known)) / 9, rng.normal(size=(len(known), toxicity.FACTORS)) / 9)
+    got = {r.doc_id: r.score for r in toxicity.score(table(list(enumerate(texts))), m).collect()}
+    for i in range(len(texts)):
+        at = [index[b] for b in where.get(i, set()) if index[b] >= 0]
+        total = m.bias + sum(m.weight[k] for k in at) + sum(m.factor[a] @ m.factor[b] for j, a in enumerate(at) for b in at[:j])
+        assert np.isclose(got[i], 1 / (1 + np.exp(-np.clip(total, -30, 30))))
+
+
 def test_toxicity_edge_cases(spark, table):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)] + [(5, None), (None, 1), (3, 7)], "doc_id long, toxic int")
     docs = table([(i, ("vile " if i % 4 == 0 else "") + "calm words of day", "en", "a") for i in range(100)] + [(200, None), (201, ""), (202, "vile " * 9), (202, "vile " * 9), (None, "VILE!")])
@@ -83,6 +136,10 @@ def test_toxicity_edge_cases(spark, table):
     assert len(out) == 105 and all(r.score is not None for r in out)
     by = {r.doc_id: r.predicted for r in out}
     assert by[202] == 1 and by[200] == by[201] == 0 and by[96] == 1 and by[97] == 0 and by[None] == 1
+    at = toxicity.score(docs, toxicity.Machine(float(np.log(0.7 / 0.3)) + 1e-12, np.full(toxicity.BUCKETS, -1, np.int16), np.zeros(1), np.zeros((1, 4))))
+    assert all(r.score >= toxicity.THRESHOLD for r in at.collect())
+    two = [toxicity.train(table([(i % 80, f"{'vile' if i % 4 == 0 else 'fine'} {i // 80}") for i in range(160)], n), labels) for n in (1, 5)]
+    assert two[0].bias == two[1].bias and np.array_equal(two[0].factor, two[1].factor)
     none = toxicity.predict(docs, labels.limit(0)).collect()
     assert len(none) == 105 and not any(r.predicted for r in none)
     assert toxicity.predict(table([]), labels).count() == 0
