@@ -1,8 +1,13 @@
 """Quality rules with robust multivariate outliers: minimum-covariance-determinant estimates for each language and source.
 
-Everything is DataFrame expressions. A text's statistics come from one pass over its words with array functions (sorting, no
-quadratic step). The estimates iterate on the small table of statistics: start from medians and absolute deviations, take the share
-H of a group that is nearest, and concentrate: mean and covariance of that share, distances to them, the nearest share again.
+Everything is DataFrame expressions. A text's statistics come from its words and lines with array functions (no quadratic step).
+
+The statistic vector is transformed and cut to whole steps, a small part of what counts as a difference at all. So the estimates work
+on a table of distinct vectors with their numbers of documents, and all their sums are sums of integers: they do not depend on how
+rows are dealt to tasks. From several starts (all documents; medians and absolute deviations; few documents drawn by hash) they
+concentrate: distances from the mean and covariance, the share H that is nearest, its mean and covariance, until the determinant
+stops falling. Of a group's starts the one of least determinant counts. Each step is one aggregation by whole classes of distance,
+fine on a logarithmic scale, from which the nearest share is exact up to its last class; no task orders a group's documents.
 """
 
 from __future__ import annotations
@@ -10,22 +15,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Share of a group that the estimates rest on, concentration steps, and the factor that makes the share's covariance consistent
-#: for normal data in five dimensions: H / P(chi2 with 7 degrees < its H-quantile with 5).
-H, STEPS, CONSISTENT = 0.75, 3, 1.41
-#: Groups of fewer documents are pooled: by language, then all together. Pools below LEAST_POOL give no verdict against a document.
-LEAST_GROUP, LEAST_POOL = 50, 20
+#: Share of a group that the estimates rest on, and the factor that makes the share's covariance consistent for normal data in five
+#: dimensions: H / P(chi2 with 7 degrees < its H-quantile with 5).
+H, CONSISTENT = 0.75, 1.41
 #: Statistic vector, with the least standard deviation of each: differences below it are not evidence, however uniform a group is.
 VECTOR = {"x0": 0.5, "x1": 0.12, "x2": 0.42, "x3": 0.6, "x4": 0.06}
+P = len(VECTOR)
+#: Steps of the cut vector in one least standard deviation, and classes of distance in a doubling of its square.
+STEPS, CLASSES = 64, 32
+#: Starts from few documents, documents of each, steps after which only the BEST starts of a group go on, and a bound that no run comes near.
+DRAWN, DRAWN_SIZE, TRIAL, BEST, MOST_STEPS = 6, 6, 2, 3, 200
 #: Squared distance from which a document is rejected; for five normal statistics the chance is about 1e-5.
 CUTOFF = 30.0
 WIDTH = 5
 #: Parts of a group's rows in joins with the group's few estimates: a group may hold a third of all rows.
 SALTS = 32
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -33,15 +43,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _spaced(text: Column) -> Column:
-    for c in "\t\n\x0b\x0c\r":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return text
-
-
 def words(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text."""
-    return F.filter(F.split(_spaced(text), " "), lambda w: w != "")
+    return F.filter(F.split(F.translate(text, WHITE, " " * len(WHITE)), " "), lambda w: w != "")
 
 
 def covered(starts: Column) -> Column:
@@ -56,7 +60,15 @@ def covered(starts: Column) -> Column:
 
 def repeated_words(w: Column) -> Column:
     """Number of words in windows of WIDTH words that occur twice or more, first occurrences included."""
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - WIDTH), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(WIDTH))))
+    join = lambda a, b: F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+    part = lambda a, start, n: F.slice(a, F.lit(start), n)
+
+    def windows(h: Column) -> Column:
+        """Hashes of pairs, of two pairs, and of those with the fifth word."""
+        n = F.size(h)
+        pairs = join(part(h, 1, n - 1), part(h, 2, n - 1))
+        fours = let(pairs, lambda p: join(part(p, 1, n - 3), part(p, 3, n - 3)))
+        return join(part(fours, 1, n - 4), part(h, 5, n - 4))
 
     def places(s: Column) -> Column:
         same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
@@ -67,113 +79,185 @@ def repeated_words(w: Column) -> Column:
         ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(let(ordered, places))
 
-    return F.when(F.size(w) < WIDTH + 1, F.lit(0).cast("long")).otherwise(let(windows, count))
+    return F.when(F.size(w) < WIDTH + 1, F.lit(0).cast("long")).otherwise(let(let(F.transform(w, lambda x: F.xxhash64(x)), windows), count))
+
+
+def repeated_lines(text: Column) -> Column:
+    """Number of lines with a word that equal an earlier line."""
+    full = lambda lines: F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    extra = lambda lines: F.size(lines) - F.size(F.array_distinct(lines))
+    return let(F.split(text, "\n"), lambda lines: F.when(extra(lines) == 0, F.lit(0)).otherwise(let(full(lines), extra))).cast("long")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the base statistics of each row of docs."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    white, symbols = " \t\n\x0b\x0c\r", "#*$%&|<>"
-    bare = text
-    for c in white:
-        bare = F.replace(bare, F.lit(c), F.lit(""))
-    marks = sum((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in symbols), F.lit(0))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(_spaced(x)) != "")
+    size = F.length(text)
     of_words = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r")))
     out = docs.select(
         "doc_id",
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
         of_words.alias("w"),
-        F.length(bare).cast("long").alias("word_chars"),
-        marks.cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        F.length(F.translate(text, WHITE, "")).cast("long").alias("word_chars"),
+        (size - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        repeated_lines(text).alias("n_dup_lines"),
     )
     return out.select("doc_id", "lang", "source", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.r").alias("n_repeat_words"))
 
 
-def _vector(s: DataFrame) -> DataFrame:
+def vector(s: DataFrame) -> DataFrame:
+    """Adds k0.., the transformed statistics in whole steps."""
     n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    return s.withColumns({
-        "x0": F.log1p(F.col("n_words").cast("double")),
-        "x1": F.log(chars / n),
-        "x2": F.log1p(100.0 * F.col("n_symbols") / chars),
-        "x3": F.log1p(F.col("n_dup_lines").cast("double")),
-        "x4": F.col("n_repeat_words") / n,
-    })
+    x = [F.log1p(F.col("n_words").cast("double")), F.log(chars / n), F.log1p(100.0 * F.col("n_symbols") / chars), F.log1p(F.col("n_dup_lines").cast("double")), F.col("n_repeat_words") / n]
+    return s.withColumns({f"k{i}": F.round(v * (STEPS / low)).cast("long") for i, (v, low) in enumerate(zip(x, VECTOR.values(), strict=True))})
+
+
+K = [f"k{i}" for i in range(P)]
+LOWER = [(i, j) for i in range(P) for j in range(i + 1)]
+SUMS = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in LOWER)]
+ESTIMATE = [*(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in LOWER), "logdet"]
 
 
-def _with(s: DataFrame, per_group: DataFrame, key: str = "g") -> DataFrame:
-    """s joined with its groups' values. The rows of a group are dealt out by a salt; its one row of values is repeated for each."""
+def _with(s: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
+    """s joined with its groups' values. The rows of a group are dealt out by a salt; its few rows of values are repeated for each."""
     salted = s.withColumn("__salt", F.pmod(F.xxhash64(*s.columns), F.lit(SALTS).cast("long")))
     values = per_group.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(values, [key, "__salt"]).drop("__salt")
+    return salted.join(values, [*keys, "__salt"]).drop("__salt")
 
 
-def _grouped(s: DataFrame) -> DataFrame:
-    """Adds g, the group of each row, from counts by language and source; nulls are values of their own."""
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    s = s.withColumn("__l", name("lang")).withColumn("__g", F.concat(name("lang"), F.lit("\x1f"), name("source")))
-    by_group = s.groupBy("__l", "__g").agg(F.count("*").alias("n"))
-    by_lang = by_group.filter(F.col("n") < LEAST_GROUP).groupBy("__l").agg(F.sum("n").alias("m"))
-    of = by_group.join(by_lang, "__l", "left").select("__g", F.when(F.col("n") >= LEAST_GROUP, F.col("__g")).when(F.col("m") >= LEAST_GROUP, F.col("__l")).otherwise(F.lit("*")).alias("g"))
-    return _with(s, of, "__g").drop("__l", "__g")
-
-
-def _moments(near: DataFrame) -> DataFrame:
-    """For each group: its size, means m0.. and the lower triangle l00.. of its covariance's Cholesky factor."""
-    x = list(VECTOR)
-    p = len(x)
-    aggs = [F.avg(c).alias(f"m{i}") for i, c in enumerate(x)] + [F.covar_pop(x[i], x[j]).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)]
-    out = near.groupBy("g").agg(*aggs)
-    for i in range(p):
-        for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") * CONSISTENT + (F.lit(VECTOR[x[i]] ** 2) if i == j else F.lit(0.0))
-            for k in range(j):
-                rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("g", *(f"m{i}" for i in range(p)), *(f"l{i}{j}" for i in range(p) for j in range(i + 1)))
-
-
-def _distances(s: DataFrame, estimates: DataFrame) -> DataFrame:
-    """Adds d, the squared distance of each row from its group's estimate."""
-    p = len(VECTOR)
-    out = _with(s, estimates)
-    for i, c in enumerate(VECTOR):
-        rest = F.col(c) - F.col(f"m{i}")
+def sums(weight: Column) -> list[Column]:
+    """What a covariance is made from, as integer sums."""
+    k = [F.col(c) for c in K]
+    return [F.sum(weight).alias("n"), *(F.sum(weight * k[i]).alias(f"s{i}") for i in range(P)), *(F.sum(weight * k[i] * k[j]).alias(f"q{i}{j}") for i, j in LOWER)]
+
+
+def estimate(of: DataFrame) -> DataFrame:
+    """Adds means, the lower triangle of the covariance's Cholesky factor (in least standard deviations) and the log determinant to rows with SUMS."""
+    n = F.col("n").cast("double")
+    out = of.withColumns({f"m{i}": F.col(f"s{i}") / n / STEPS for i in range(P)})
+    for i, j in LOWER:
+        rest = (F.col(f"q{i}{j}") / n / STEPS**2 - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENT + (1.0 if i == j else 0.0)
+        for k in range(j):
+            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
+    return out.withColumn("logdet", 2 * sum((F.log(f"l{i}{i}") for i in range(P)), F.lit(0.0))).drop(*SUMS)
+
+
+def distances(of: DataFrame) -> DataFrame:
+    """Adds d, the squared distance, to rows with a cut vector and an estimate."""
+    y: list[Column] = []
+    for i in range(P):
+        name = f"__y{i}"
+        rest = F.col(K[i]) / F.lit(float(STEPS)) - F.col(f"m{i}")
         for j in range(i):
             rest = rest - F.col(f"l{i}{j}") * F.col(f"__y{j}")
-        out = out.withColumn(f"__y{i}", rest / F.col(f"l{i}{i}"))
-    total = sum((F.col(f"__y{i}") * F.col(f"__y{i}") for i in range(p)), F.lit(0.0))
-    return out.withColumn("d", total).select(*s.columns, "d")
-
-
-def outliers(s: DataFrame) -> DataFrame:
-    """Adds d, the squared robust distance (null in pools too small for a verdict), to a table with g and the vector."""
-    # A first distance without correlations, from medians and absolute deviations.
-    mid = s.groupBy("g").agg(F.count("*").alias("__n"), *(F.percentile_approx(c, 0.5, 1000).alias(f"__m_{c}") for c in VECTOR))
-    off = _with(s, mid).select(*s.columns, "__n", *(F.abs(F.col(c) - F.col(f"__m_{c}")).alias(f"__a_{c}") for c in VECTOR))
-    mad = off.groupBy("g").agg(*(F.percentile_approx(f"__a_{c}", 0.5, 1000).alias(f"__s_{c}") for c in VECTOR))
-    first = sum(((F.col(f"__a_{c}") / F.greatest(1.4826 * F.col(f"__s_{c}"), F.lit(low))) ** 2 for c, low in VECTOR.items()), F.lit(0.0))
-    now = _with(off, mad).withColumn("d", first).select(*s.columns, "d")
-    for _ in range(STEPS):
-        edge = now.groupBy("g").agg(F.percentile_approx("d", H, 1000).alias("__edge"))
-        estimates = materialize(_moments(_with(now, edge).filter("d <= __edge")), "mcd")
-        now = _distances(s, estimates)
-    return _with(now, mid.select("g", "__n")).withColumn("d", F.when(F.col("__n") >= LEAST_POOL, F.col("d"))).drop("__n")
-
-
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept for each row of docs.
-
-    docs has doc_id, text, lang, source; other columns are ignored. A null text has no words. base_failed: fewer than 10 words, or
-    more than a fifth of the words repeat. Those rows take no part in the estimates and are not kept; of the others, rows at a
-    squared distance of CUTOFF or more go. A null lang or source is a value of its own. Equal rows get equal verdicts; empty tables
-    give an empty result.
+        of = of.withColumn(name, rest / F.col(f"l{i}{i}"))
+        y.append(F.col(name))
+    return of.withColumn("d", sum((v * v for v in y), F.lit(0.0))).drop(*(f"__y{i}" for i in range(P)))
+
+
+def concentrate(points: DataFrame, estimates: DataFrame) -> DataFrame:
+    """pool, start and the estimate of the documents nearest to each estimate: whole classes of distance until the share H is reached."""
+    near = distances(_with(points, estimates, ["pool"]))
+    level = F.floor(F.log2(F.col("d") + 2.0**-10) * CLASSES).cast("int")
+    by_class = near.groupBy("pool", "start", level.alias("level")).agg(*sums(F.col("w")))
+    group = W.partitionBy("pool", "start")
+    before = F.sum("n").over(group.orderBy("level")) - F.col("n")
+    used = by_class.withColumn("__before", before).withColumn("__all", F.sum("n").over(group)).filter(F.col("__before") < H * F.col("__all"))
+    return estimate(used.groupBy("pool", "start").agg(*(F.sum(c).alias(c) for c in SUMS))).select("pool", "start", *ESTIMATE)
+
+
+def _medians(values: DataFrame) -> DataFrame:
+    """pool, i, med: the least value k of each pool and place i that at least half of the documents (w) do not exceed."""
+    by = values.groupBy("pool", "i", "k").agg(F.sum("w").alias("w"))
+    group = W.partitionBy("pool", "i")  # values in steps: a few thousand of them, however many documents
+    upto = by.withColumn("__upto", F.sum("w").over(group.orderBy("k"))).withColumn("__all", F.sum("w").over(group))
+    return upto.filter(2 * F.col("__upto") >= F.col("__all")).groupBy("pool", "i").agg(F.min("k").alias("med"))
+
+
+def starts(points: DataFrame) -> DataFrame:
+    """pool, start and estimates: 0 of all documents, 1 of medians and absolute deviations, the others of DRAWN_SIZE different vectors by hash."""
+    whole = estimate(points.groupBy("pool").agg(*sums(F.col("w")))).withColumn("start", F.lit(0))
+    each = points.select("pool", "w", F.posexplode(F.array(*K)).alias("i", "k"))
+    med = _medians(each)
+    off = _with(each, med, ["pool", "i"]).select("pool", "i", "w", F.abs(F.col("k") - F.col("med")).alias("k"))
+    both = med.withColumnRenamed("med", "mid").join(_medians(off), ["pool", "i"])
+    wide = both.groupBy("pool").agg(*(F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for c in ("mid", "med") for i in range(P)))
+    scale = {f"l{i}{i}": F.sqrt((1.4826 * F.col(f"med{i}") / STEPS) ** 2 + 1.0) for i in range(P)}
+    robust = wide.withColumns({f"m{i}": F.col(f"mid{i}") / F.lit(float(STEPS)) for i in range(P)} | {f"l{i}{j}": scale.get(f"l{i}{j}", F.lit(0.0)) for i, j in LOWER})
+    robust = robust.withColumn("logdet", F.lit(0.0)).withColumn("start", F.lit(1))
+    draws = F.explode(F.array(*(F.struct(F.lit(2 + j).alias("start"), F.xxhash64(F.lit(j), *K).alias("h")) for j in range(DRAWN))))
+    drawn = points.select("pool", *K, draws.alias("x")).groupBy("pool", "x.start", F.pmod("x.h", F.lit(DRAWN_SIZE).cast("long")).alias("slot"))
+    drawn = drawn.agg(F.min(F.struct("x.h", *K)).alias("least")).select("pool", "start", *(F.col(f"least.{c}").alias(c) for c in K))
+    few = estimate(drawn.groupBy("pool", "start").agg(*sums(F.lit(1).cast("long"))))
+    columns = ["pool", "start", *ESTIMATE]
+    return whole.select(*columns).unionByName(robust.select(*columns)).unionByName(few.select(*columns))
+
+
+def determinants(points: DataFrame) -> DataFrame:
+    """pool and the estimate of least determinant, of points (pool, k0.., w). Only counts of open starts reach the driver."""
+    now = materialize(starts(points).withColumn("logdet", F.lit(float("inf"))), "mcd")
+    done = None
+    for step in range(MOST_STEPS):
+        new = concentrate(points, now)
+        old = now.select("pool", "start", *(F.col(c).alias(f"__{c}") for c in ESTIMATE))
+        settled = F.col("logdet") >= F.col("__logdet") - 1e-9
+        both = new.join(old, ["pool", "start"]).withColumn("settled", settled)
+        both = both.select("pool", "start", *(F.when(settled, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in ESTIMATE), "settled")
+        if step + 1 == TRIAL:
+            rank = F.row_number().over(W.partitionBy("pool").orderBy("logdet", "start"))
+            both = both.withColumn("__rank", rank).filter(F.col("__rank") <= BEST).drop("__rank")
+        both = materialize(both, "mcd")
+        ended = both.filter("settled").drop("settled")
+        done = ended if done is None else done.unionByName(ended)
+        now = both.filter("not settled").drop("settled")
+        if now.isEmpty():
+            break
+    else:
+        raise RuntimeError("the estimates did not settle")
+    best = done.groupBy("pool").agg(F.min(F.struct("logdet", "start", *ESTIMATE[:-1])).alias("b"))
+    return best.select("pool", *(F.col(f"b.{c}").alias(c) for c in ESTIMATE))
+
+
+def pools(cells: DataFrame, least_group: int, least_pool: int) -> DataFrame:
+    """l, g (language; language and source), pool and members: the pool that judges a group, and the pools in use that its documents belong to.
+
+    A group of least_group documents is its own pool; a smaller one is judged by all documents of its language, if they are as many,
+    else by all documents; and by none if there are fewer than least_pool.
+    """
+    by_group = cells.groupBy("l", "g").agg(F.sum("w").alias("n"))
+    by_lang = by_group.groupBy("l").agg(F.sum("n").alias("m"), F.min("n").alias("least"))
+    total = by_group.agg(F.sum("n").alias("all"))
+    of = by_group.join(by_lang, "l").join(F.broadcast(total))  # one row
+    whole = F.when(F.col("all") >= least_pool, F.lit("*"))
+    pool = F.when(F.col("n") >= least_group, F.col("g")).when(F.col("m") >= least_group, F.col("l")).otherwise(whole)
+    members = F.array_compact(F.array(F.when(F.col("n") >= least_group, F.col("g")), F.when((F.col("least") < least_group) & (F.col("m") >= least_group), F.col("l")), whole))
+    return of.select("l", "g", pool.alias("pool"), members.alias("members"))
+
+
+def judge(docs: DataFrame, least_group: int = 50, least_pool: int = 20) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept, pool for each row of docs.
+
+    docs has doc_id, text, lang, source; other columns are ignored. A null text has no words; a very long text is taken whole.
+    base_failed: fewer than 10 words, or more than a fifth of the words repeat. Those rows take no part in the estimates and are not
+    kept; of the others, rows at a squared distance of CUTOFF or more (one equal to it included) go. A null lang or source is a value
+    of its own. pool names the estimate: language and source where they have least_group documents, else the language, else "*", all
+    documents; null (and then no verdict against a row) where there are fewer than least_pool. Equal rows get equal verdicts, whatever
+    the order and the partitions; empty tables give an empty result.
     """
-    s = materialize(_vector(statistics(docs)).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))), "stats")
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
+    s = vector(statistics(docs)).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    s = materialize(s.withColumn("l", name("lang")).withColumn("g", F.concat(name("lang"), F.lit("\x1f"), name("source"))), "stats")
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    good = materialize(_grouped(s.filter("not base_failed")), "grouped")
-    passed = outliers(good).select(*columns, F.col("d").alias("distance"), (F.coalesce(F.col("d"), F.lit(0.0)) < CUTOFF).alias("kept"))
-    failed = s.filter("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
+    good = s.filter("not base_failed")
+    cells = materialize(good.groupBy("l", "g", *K).agg(F.count("*").alias("w")), "cells")
+    of = materialize(pools(cells, least_group, least_pool), "pools")
+    in_use = of.select("pool").distinct()
+    members = of.select("g", F.explode("members").alias("pool")).join(in_use, "pool", "left_semi")
+    points = materialize(_with(cells, members, ["g"]).groupBy("pool", *K).agg(F.sum("w").alias("w")), "points")
+    estimates = of.select("g", "pool").join(determinants(points), "pool", "left")
+    judged = distances(_with(good, estimates, ["g"]))
+    passed = judged.select(*columns, F.col("d").alias("distance"), (F.coalesce(F.col("d"), F.lit(0.0)) < CUTOFF).alias("kept"), "pool")
+    failed = s.filter("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"), F.lit(None).cast("string").alias("pool"))
     return passed.unionByName(failed)

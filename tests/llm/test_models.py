@@ -33,22 +33,89 @@ def test_outliers(table):
     text = lambda: " ".join(word() for _ in range(int(rng.integers(60, 200))))
     rows = [(i, text(), None if i % 2 else "en", "big") for i in range(300)]
     bad = [(1000 + i, " ".join(f"{word()}#$%&" for _ in range(100)), "en", "big") for i in range(30)]
-    lone = [(2000, "$$$ " * 4 + text(), "xx", "lone")]
+    lone = [(2000, "$$$ " * 60 + text(), "xx", "lone")]
     out = {r.doc_id: r for r in quality.judge(table(rows + bad + lone)).collect()}
     assert all(out[i].kept for i, *_ in rows) and not any(out[i].kept for i, *_ in bad)
-    assert out[2000].kept and out[2000].distance is None  # no estimate, no verdict
+    # A group of one is judged by all documents.
+    assert out[2000].pool == "*" and not out[2000].kept and {out[i].pool for i in range(300)} == {"=en\x1f=big", "null\x1f=big"}
+    few = {r.doc_id: r for r in quality.judge(table(rows[:10] + lone)).collect()}
+    assert few[2000].kept and few[2000].distance is None and few[2000].pool is None  # too few documents for a verdict
     assert quality.judge(table([])).count() == 0
 
 
-def test_moments_match_numpy(spark):
+def plain_estimate(x, share=quality.H):
+    """Mean and covariance (in least deviations) of the share of rows whose determinant is least, over many starts and whole sorts."""
+    rng, n, best = np.random.default_rng(5), len(x), None
+    h = int(np.ceil(share * n))
+    cov_of = lambda z: np.cov(z.T, bias=True) * quality.CONSISTENT + np.eye(z.shape[1])
+    far = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    for k in range(30):
+        some = x[rng.choice(n, 6, replace=False)] if k else x
+        m, c, was = some.mean(0), cov_of(some), np.inf
+        while True:
+            near = x[np.argsort(far(m, c), kind="stable")[:h]]
+            m, c = near.mean(0), cov_of(near)
+            if (det := np.linalg.slogdet(c)[1]) >= was - 1e-9:
+                break
+            was = det
+        if best is None or was < best[0]:
+            best = (was, far(m, c))
+    return best[1]
+
+
+def test_verdicts_match_a_plain_estimate(table):
+    """Two groups, one with a fifth of odd documents of several kinds: distances and verdicts as from whole sorts and many starts."""
+    rng = np.random.default_rng(11)
+    word = lambda lo, hi: "".join(rng.choice(list("abcdefgh"), rng.integers(lo, hi)))
+    rows = []
+    for i in range(400):
+        kind = i % 25
+        w = [word(2, 9) for _ in range(int(np.exp(rng.normal(4.5, 0.4))) + 12)]
+        if kind == 0:
+            w = [word(14, 30) for _ in w]
+        elif kind in (1, 2):
+            w = [x + "#%" for x in w]
+        elif kind == 3:
+            w = w[:12]
+        elif kind == 4:
+            w = "\n".join([" ".join(w[:11])] + [f"{a} {word(2, 9)}" for a in w[:9]] * 3).split(" ")
+        rows.append((i, " ".join(w), "en" if i % 4 else "de", "web"))
+    df = table(rows)
+    out = {r.doc_id: r for r in quality.judge(df).collect()}
+    cut = {r.doc_id: np.array([r[k] for k in quality.K]) / quality.STEPS for r in quality.vector(quality.statistics(df)).collect()}
+    for lang in ("en", "de"):
+        ids = [i for i, _, x, _ in rows if x == lang and not out[i].base_failed]
+        d = plain_estimate(np.array([cut[i] for i in ids]))
+        got = np.array([out[i].distance for i in ids])
+        assert len(ids) > 60 and np.allclose(np.sqrt(got), np.sqrt(d), rtol=0.15, atol=0.15)
+        sure = np.abs(d - quality.CUTOFF) > 0.25 * quality.CUTOFF
+        assert [out[i].kept for i, s in zip(ids, sure, strict=True) if s] == (d[sure] < quality.CUTOFF).tolist() and (d[sure] > quality.CUTOFF).any()
+
+
+def test_a_large_group_is_judged_alike_over_any_partitions(spark):
+    from pyspark.sql import functions as F
+
+    h = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n))
+    word = F.lower(F.substring(F.md5(F.col("id").cast("string")), 1, 5))
+    text = F.concat_ws(" ", F.array_repeat(F.lit("some"), 3), F.transform(F.sequence(F.lit(0), (6 + h(1, 14)).cast("int")), lambda i: F.concat(word, i.cast("string"))), F.repeat(F.lit("#"), (h(2, 40) - 34).cast("int")))
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"))
+    seen = []
+    for n in (1, 7, 29):
+        out = quality.judge(docs.repartition(n))
+        seen.append(tuple(out.agg(F.count("*"), F.count(F.when(F.col("kept"), 1)), F.sum(F.xxhash64("doc_id", "distance", "kept").cast("decimal(38,0)"))).first()))
+    assert seen[0] == seen[1] == seen[2] and 0 < seen[0][1] < 100_000
+
+
+def test_distances_match_numpy(spark):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(500, 5)) @ rng.normal(size=(5, 5))
-    df = spark.createDataFrame([("g", *map(float, r)) for r in x], "g string, " + ", ".join(f"{c} double" for c in quality.VECTOR))
-    d = np.array([r.d for r in quality._distances(df.coalesce(1), quality._moments(df)).select("d", *quality.VECTOR).orderBy("x0").collect()])
-    s = np.cov(x.T, bias=True) * quality.CONSISTENT + np.diag([v**2 for v in quality.VECTOR.values()])
-    x = x[np.argsort(x[:, 0])]
+    k = (rng.normal(size=(500, 5)) @ rng.normal(size=(5, 5)) * 100).astype(int)
+    df = spark.createDataFrame([("g", 1, *map(int, r)) for r in k], "pool string, w long, " + ", ".join(f"{c} long" for c in quality.K))
+    e = quality.estimate(df.groupBy("pool").agg(*quality.sums(df.w)))
+    d = np.array([r.d for r in quality.distances(df.join(e, "pool").coalesce(1)).select("d", *quality.K).orderBy(*quality.K).collect()])
+    x = k[np.lexsort(k.T[::-1])] / quality.STEPS
+    s = np.cov(x.T, bias=True) * quality.CONSISTENT + np.eye(5)
     c = x - x.mean(0)
-    assert np.allclose(d, np.einsum("ij,jk,ik->i", c, np.linalg.inv(s), c))
+    assert np.allclose(d, np.einsum("ij,jk,ik->i", c, np.linalg.inv(s), c)) and np.isclose(e.first().logdet, np.linalg.slogdet(s)[1])
 
 
 def test_toxicity_on_held_out_rows(spark):
