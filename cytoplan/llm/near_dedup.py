@@ -7,9 +7,10 @@ trees as the threshold takes (three at 0.85, four at 0.8) a pair at the threshol
 6 in a million.
 
 A leaf is never expanded into all its pairs. First each member is compared with the leaf's least document; when components of
-these links are known, only members of different components are still compared: exhaustively in small nodes, after more branching
-in large ones, most similar partners first. Pairs whose tokens agree too little are left out, all others are confirmed on the two
-full sets. So a group of N near copies costs about N comparisons and keeps every component.
+these links are known, only members of different components are still compared, exhaustively, most similar partners first. Pairs
+whose tokens agree too little are left out, all others are confirmed on the two full sets. So a group of N near copies costs about
+N comparisons and keeps every component. A large leaf is dealt out as cells: blocks of the members outside its largest component,
+each against every block of the leaf. So a task holds a bounded number of sets, and no pair is lost to a leaf's size.
 """
 
 from __future__ import annotations
@@ -22,28 +23,27 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import U64, bounded_batches, materialize, mix, shingles, span_hashes, text_chunks, word_bounds
 from .components import connected_components
 
 T, TREES, WIDTHS = 256, 3, (3, 3, 1, 1, 1)
-#: A node of up to so many sets is compared exhaustively; a larger one branches on, by CHILDREN tokens a level, while that saves
-#: comparisons and to this depth at most.
-SMALL, CHILDREN, DEEPEST = 2048, 3, 12
-#: Greatest chance that a pair at the threshold shares no leaf, and that it is lost where a large node branches on.
-LEAF_LOSS, BRANCH_LOSS = 6e-6, 0.004
+#: A leaf of up to so many sets is one cell; the members of a larger one are dealt out to blocks of about so many.
+SMALL, BLOCK = 1024, 512
+#: Greatest chance that a pair at the threshold shares no leaf.
+LEAF_LOSS = 6e-6
 #: A pair is worth confirming from so many deviations of its share of equal tokens below the threshold.
 DEVIATIONS = 4.5
 
 
 @dataclass(frozen=True)
 class Threshold:
-    """What a similarity threshold takes: trees, children a level of a large node, and the least number of equal tokens."""
+    """What a similarity threshold takes: trees, and the least number of equal tokens."""
 
     least: Fraction
     trees: int = TREES
-    children: int = CHILDREN
     agree: int = 0
 
     @staticmethod
@@ -55,18 +55,14 @@ class Threshold:
         miss = 0.0
         for width in reversed(WIDTHS):
             miss = (1 - s * (1 - miss)) ** width
-        children, lost = 1, 1.0
-        while lost > BRANCH_LOSS:
-            children, lost = children + 1, 0.0
-            for _ in range(DEEPEST):
-                lost = (1 - s * (1 - lost)) ** children
         agree = math.ceil(T * (s - DEVIATIONS * math.sqrt(s * (1 - s) / T)))
-        return Threshold(least, math.ceil(math.log(LEAF_LOSS) / math.log(miss)), children, max(agree, 1))
+        return Threshold(least, math.ceil(math.log(LEAF_LOSS) / math.log(miss)), max(agree, 1))
 
     def close(self, shared: int, union: int) -> bool:
         """Whether shared / union is the threshold or more."""
         return self.least.denominator * shared >= self.least.numerator * union > 0
 
+
 #: The contract of op1.
 OP1 = Threshold.of(0.85)
 
@@ -174,55 +170,50 @@ def _links(pairs: DataFrame, texts: DataFrame, at: Threshold) -> DataFrame:
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(at), "a long, b long")
 
 
-def _node_pairs(comps: np.ndarray, sigs: np.ndarray, most: int, leaf: int = 0, rows: np.ndarray | None = None, used: tuple[int, ...] = (), at: Threshold = OP1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of a node's sets that lie in different components and may be similar; for each set the `most` likeliest (0: all)."""
-    rows = np.arange(len(comps)) if rows is None else rows
-    own = comps[rows]
-    if len(rows) < 2 or (own == own[0]).all():
+def _node_pairs(comps: np.ndarray, sigs: np.ndarray, left: np.ndarray, most: int, at: Threshold = OP1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of a cell's sets that lie in different components and may be similar; for each set the `most` likeliest (0: all).
+
+    left tells the two sides, which are compared with each other; of a cell with one side, all sets are compared.
+    """
+    one, two = np.flatnonzero(left), np.flatnonzero(~left)
+    within = not (len(one) and len(two))
+    kinds, back, count = np.unique(comps, return_inverse=True, return_counts=True)
+    if len(kinds) < 2:
         return
-    if len(rows) > SMALL and len(used) < DEEPEST:
-        free = np.setdiff1d(np.arange(T), used)
-        salt = mix(np.array([leaf + len(used) * 1_000_003], U64) ^ U64(int(np.sum(used)) + 1))[0]
-        chosen = [c for c in free[np.argsort(mix(free.astype(U64) ^ salt))].tolist() if (sigs[rows, c] != sigs[rows[0], c]).any()][: at.children]
-        parts = []
-        for c in chosen:
-            order = rows[np.argsort(sigs[rows, c], kind="stable")]
-            parts += [(c, part) for part in np.split(order, np.flatnonzero(np.diff(sigs[order, c].astype(np.int16))) + 1)]
-        if len(chosen) == at.children and sum(len(part) ** 2 for _, part in parts) < len(rows) ** 2:
-            for c, part in parts:
-                yield from _node_pairs(comps, sigs, most, leaf, part, (*used, c), at)
-            return
-    _, back, count = np.unique(own, return_inverse=True, return_counts=True)
-    rows = rows[np.lexsort((own, count[back]))]  # small components first; a pair is taken from the side of its first
-    own, mine = comps[rows], sigs[rows]
-    block = max(1, (4 << 20) // (len(rows) * T))
-    for lo in range(0, len(rows) - int(count.max()), block):  # members of the largest component, the last ones, need no partners among themselves
-        some = slice(lo, min(lo + block, len(rows)))
-        agree = np.count_nonzero(mine[some, None, :] == mine[None, lo:, :], axis=2)
-        agree[(own[some, None] == own[None, lo:]) | (np.arange(lo, len(rows))[None, :] <= np.arange(lo, some.stop)[:, None])] = 0
-        if most:
-            for r in np.flatnonzero((agree >= at.agree).sum(1) > most).tolist():
-                agree[r, np.argsort(-agree[r], kind="stable")[most:]] = 0
-        i, j = np.nonzero(agree >= at.agree)
-        if len(i):
-            yield rows[lo + i], rows[lo + j]
+    rank = np.lexsort((comps, count[back]))  # small components first; members of the largest, the last ones, need no partners among themselves
+    largest = comps == comps[rank[-1]]
+    if within:
+        rounds = [(rank[: len(rank) - int(count.max())], rank)]
+    else:
+        rounds = [(one[~largest[one]], two), (one[largest[one]], two[~largest[two]])]
+    for first, second in rounds:
+        block = max(1, (4 << 20) // (max(1, len(second)) * T))
+        for lo in range(0, len(first), block):
+            some = first[lo : lo + block]
+            rest = second[lo:] if within else second
+            agree = np.count_nonzero(sigs[some, None, :] == sigs[None, rest, :], axis=2)
+            agree[comps[some, None] == comps[None, rest]] = 0
+            if within:
+                agree[np.arange(len(rest))[None, :] <= np.arange(len(some))[:, None]] = 0
+            if most:
+                for r in np.flatnonzero((agree >= at.agree).sum(1) > most).tolist():
+                    agree[r, np.argsort(-agree[r], kind="stable")[most:]] = 0
+            i, j = np.nonzero(agree >= at.agree)
+            if len(i):
+                yield some[i], rest[j]
 
 
 def _compare_nodes(most: int, at: Threshold):
     def pairs_of(batches: list[pa.RecordBatch]) -> list[np.ndarray]:
-        """A pair that shares several leaves is taken in the first of them, as the marks of both its sets' leaves tell.
-
-        A leaf that branches on may miss a pair now and then, so it gives all it finds.
-        """
+        """A pair that shares several leaves is taken in the first of them, as the marks of both its sets' leaves tell."""
         table = pa.Table.from_batches(batches)
         leaf = table["path"][0].as_py() & 0xFFFFFFFF
         ids, comps = (table[k].to_numpy() for k in ("rep", "comp"))
         sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(-1, T)
         marks = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint32).reshape(len(ids), -1)
         out = []
-        for i, j in _node_pairs(comps, sigs, most, leaf, at=at):
-            first = (marks[i] == marks[j]).argmax(1)
-            here = (marks[i, first] == leaf) | (len(ids) > SMALL)
+        for i, j in _node_pairs(comps, sigs, table["left"].to_numpy(), most, at):
+            here = marks[i, (marks[i] == marks[j]).argmax(1)] == leaf
             out.append(np.sort(np.stack([ids[i[here]], ids[j[here]]], 1), axis=1))
         return out
 
@@ -233,11 +224,11 @@ def _compare_nodes(most: int, at: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, found, key = [], [], None
         for batch in batches:
-            p = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(p)) + 1).tolist(), len(p)]
+            p = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            cuts = [0, *(np.flatnonzero(np.diff(p, axis=0).any(1)) + 1).tolist(), len(p)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi > lo:
-                    if held and p[lo] != key:
+                    if held and (p[lo] != key).any():
                         found += pairs_of(held)
                         held = []
                     key = p[lo]
@@ -252,6 +243,30 @@ def _compare_nodes(most: int, at: Threshold):
     return run
 
 
+def _cells(known: DataFrame, opened: DataFrame) -> DataFrame:
+    """path, i, j, left, rep, comp: each member of the open leaves (path, n), in every cell that it is compared in.
+
+    A leaf of up to SMALL members is one cell. Else its members outside the largest component are blocks 0 to outer - 1 and those of
+    that component the blocks from there on; cells are pairs i <= j of blocks with i < outer. So a component of any size costs one
+    copy of its members for each block of the others.
+    """
+    members = known.join(opened, "path")
+    whole = lambda m: m.select("path", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("left"), "rep", "comp")
+    large = opened.filter(F.col("n") > SMALL)
+    if large.isEmpty():
+        return whole(members)
+    by_comp = known.join(large, "path").groupBy("path", "n", "comp").agg(F.count("*").alias("m"))
+    main = by_comp.groupBy("path", "n").agg(F.max(F.struct("m", "comp")).alias("x"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    main = main.select("path", F.col("x.comp").alias("__main"), blocks(F.col("n") - F.col("x.m")).alias("outer"), blocks(F.col("x.m")).alias("inner"))
+    dealt = known.join(main, "path").withColumn("__in", F.col("comp") == F.col("__main"))
+    one_of = lambda n: F.pmod(F.xxhash64("rep", "path"), n).cast("int")
+    dealt = dealt.withColumn("b", F.when(F.col("__in"), F.col("outer") + one_of(F.col("inner"))).otherwise(one_of(F.col("outer"))))
+    others = F.sequence(F.lit(0), F.when(F.col("__in"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)
+    dealt = dealt.select("path", "rep", "comp", "b", F.explode(others).alias("o")).select("path", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), (F.col("b") <= F.col("o")).alias("left"), "rep", "comp")
+    return whole(members.filter(F.col("n") <= SMALL)).unionByName(dealt)
+
+
 def near_duplicates(docs: DataFrame, rounds: tuple[int, ...] = (8, 0), threshold: float = 0.85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are ignored).
 
@@ -274,9 +289,9 @@ def near_duplicates(docs: DataFrame, rounds: tuple[int, ...] = (8, 0), threshold
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # much work for few bytes: not to be coalesced by size
     for most in rounds:
         known = nodes.join(comps, F.col("rep") == F.col("node"), "left").select("path", "rep", F.coalesce("component", "rep").alias("comp"))
-        open_ = known.groupBy("path").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("path")
-        rows = known.join(open_, "path").join(reps.select("rep", "sig", "marks"), "rep")
-        found = rows.select("path", "rep", "comp", "sig", "marks").repartition(tasks, "path").sortWithinPartitions("path").mapInArrow(_compare_nodes(most, at), "a long, b long")
+        opened = known.groupBy("path").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x < y").select("path", "n")
+        rows = _cells(known, materialize(opened, "open")).join(reps.select("rep", "sig", "marks"), "rep").select("path", "i", "j", "left", "rep", "comp", "sig", "marks")
+        found = rows.repartition(tasks, "path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_compare_nodes(most, at), "a long, b long")
         more = materialize(_links(found.distinct(), texts, at), "links")
         if more.isEmpty():
             if most == 0:
@@ -291,10 +306,14 @@ def near_duplicates(docs: DataFrame, rounds: tuple[int, ...] = (8, 0), threshold
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs, with all their columns, whose document stands for its group; of repeated rows of it, one stays."""
+    """The rows of docs, with all their columns, whose document stands for its group.
+
+    Of several rows with such a doc_id, the one of least text stays (a null is least). Rows with a null doc_id all stay.
+    """
     kept = near_duplicates(docs, threshold=threshold).filter("kept").select("doc_id").distinct()
     lone = docs.filter("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(lone)
+    first = docs.join(kept, "doc_id", "left_semi").withColumn("__row", F.row_number().over(W.partitionBy("doc_id").orderBy("text")))
+    return first.filter("__row = 1").drop("__row").unionByName(lone)
 
 
 #: The same rows in DuckDB's SQL: a join of all shingles, and a walk along the links.

@@ -119,17 +119,43 @@ def test_few_links_are_lost_to_the_agreement_bound(similarity):
     assert below < 2e-5
 
 
-@pytest.mark.parametrize("branching", [4, 2048])
-def test_large_nodes_branch(monkeypatch, branching):
-    monkeypatch.setattr(near_dedup, "SMALL", branching)
+def pairs_in(comps, sigs, left, most=0):
+    return {tuple(sorted(p)) for i, j in near_dedup._node_pairs(comps, sigs, left, most) for p in zip(i.tolist(), j.tolist(), strict=True)}
+
+
+def test_cells_compare_all_members_of_different_components():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 255, (1, near_dedup.T)).astype(np.uint8)
     sigs = np.where(rng.random((40, near_dedup.T)) < 0.97, base, rng.integers(0, 255, (40, near_dedup.T))).astype(np.uint8)
-    ids = np.arange(40)
-    found = {tuple(sorted(p)) for i, j in near_dedup._node_pairs(ids, sigs, 0) for p in zip(i.tolist(), j.tolist(), strict=True)}
-    assert len(found) > 0.9 * 780
-    few = [tuple(p) for i, j in near_dedup._node_pairs(ids, sigs, 2) for p in zip(i.tolist(), j.tolist(), strict=True)]
-    assert len(set(few)) < len(found)
+    every, ids = {(i, j) for i, j in combinations(range(40), 2)}, np.arange(40)
+    whole = np.ones(40, bool)
+    assert pairs_in(ids, sigs, whole) == every
+    assert len(pairs_in(ids, sigs, whole, 2)) < len(every)
+    for comps in (ids, np.where(ids % 3 == 0, 99, ids % 5), np.full(40, 7)):
+        apart = {(i, j) for i, j in every if comps[i] != comps[j]}
+        assert pairs_in(comps, sigs, whole) == apart
+        assert pairs_in(comps, sigs, ids < 15) == {(i, j) for i, j in apart if i < 15 <= j}
+
+
+@pytest.mark.parametrize(("small", "block"), [(2, 1), (16, 4)])
+def test_large_leaves_lose_no_link(monkeypatch, table, prose, small, block):
+    """Components equal brute force where nearly every leaf is dealt out as cells: a leaf of many unlike copies, and one large component with outsiders."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(200)]
+    rows = list(prose)
+    for i in range(60):
+        words = list(base)
+        for at in rng.choice(200, int(rng.integers(1, 6)), replace=False):
+            words[at] = f"x{i}y{at}"
+        rows.append((5000 + i, " ".join(words)))
+    assert got(near_dedup.near_duplicates(table(rows))) == brute(rows)
+
+
+def test_repeated_ids_with_different_texts_keep_the_least(table):
+    kept = near_dedup.keep_one(table([(3, "b b b"), (3, "a a a"), (3, None), (4, "c"), (4, "c")]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, None), (4, "c")]
 
 
 def test_components(spark):
