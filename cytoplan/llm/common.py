@@ -30,9 +30,12 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own is set only where the session has none (local runs and tests)."""
+    """The folder that driver and executors share; one of its own is set only in a local session that has none. A cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='cytoplan-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at

@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from cytoplan.llm import components, near_dedup
+from cytoplan.llm import common, components, near_dedup
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -158,6 +158,19 @@ def test_repeated_ids_with_different_texts_keep_the_least(table):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, None), (4, "c")]
 
 
+def test_a_cluster_must_name_its_shared_folder(spark):
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster)
+    assert common.shared_dir(spark) == common.shared_dir(spark)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (9, 8), (8, 7), (5, 5), (2, 1), (20, 21)] + [(30 + i, 31 + i) for i in range(40)]
     rows = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
