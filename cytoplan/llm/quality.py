@@ -35,6 +35,10 @@ CUTOFF = 30.0
 WIDTH = 5
 #: Parts of a group's rows in joins with the group's few estimates: a group may hold a third of all rows.
 SALTS = 32
+#: Most bytes of all groups' estimates, by count and length of their names, that are broadcast; beyond it the joins are salted.
+BROADCAST_BYTES, ESTIMATE_BYTES = 32 << 20, 256
+#: Pairs of a group and a start that one task settles.
+PAIRS = 64
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -119,53 +123,62 @@ SUMS = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in LOWER)]
 ESTIMATE = [*(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in LOWER), "logdet"]
 
 
-def _with(s: DataFrame, per_group: DataFrame, keys: list[str]) -> DataFrame:
-    """s joined with its groups' values. The rows of a group are dealt out by a salt; its few rows of values are repeated for each."""
+def _with(s: DataFrame, per_group: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """s joined with its groups' values: broadcast if they are known to be small, so that s stays in place.
+
+    Else the rows of a group are dealt out by a salt, and its few rows of values are repeated for each.
+    """
+    if small:
+        return s.join(F.broadcast(per_group), keys)
     salted = s.withColumn("__salt", F.pmod(F.xxhash64(*s.columns), F.lit(SALTS).cast("long")))
     values = per_group.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(values, [*keys, "__salt"]).drop("__salt")
 
 
-def sums(weight: Column) -> list[Column]:
-    """What a covariance is made from, as integer sums."""
-    k = [F.col(c) for c in K]
-    return [F.sum(weight).alias("n"), *(F.sum(weight * k[i]).alias(f"s{i}") for i in range(P)), *(F.sum(weight * k[i] * k[j]).alias(f"q{i}{j}") for i, j in LOWER)]
+def fits(of: DataFrame) -> bool:
+    """Whether the estimates of all groups and starts are small enough for a broadcast."""
+    groups, names = of.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("g") + F.octet_length("l")), F.lit(0))).first()
+    return (2 + DRAWN) * (groups * ESTIMATE_BYTES + names) <= BROADCAST_BYTES
+
+
+def sums(weight: str) -> list[Column]:
+    """What a covariance is made from, as integer sums; the formulas here are texts, one call of the session each."""
+    linear = [f"sum({weight} * k{i}) AS s{i}" for i in range(P)]
+    square = [f"sum({weight} * k{i} * k{j}) AS q{i}{j}" for i, j in LOWER]
+    return [F.expr(x) for x in (f"sum({weight}) AS n", *linear, *square)]
 
 
 def estimate(of: DataFrame) -> DataFrame:
     """Adds means, the lower triangle of the covariance's Cholesky factor (in least standard deviations) and the log determinant to rows with SUMS."""
-    n = F.col("n").cast("double")
-    out = of.withColumns({f"m{i}": F.col(f"s{i}") / n / STEPS for i in range(P)})
+    steps = [f"s{i} / double(n) / {STEPS} AS m{i}" for i in range(P)]
     for i, j in LOWER:
-        rest = (F.col(f"q{i}{j}") / n / STEPS**2 - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENT + (1.0 if i == j else 0.0)
+        rest = f"(q{i}{j} / double(n) / {STEPS**2} - m{i} * m{j}) * {CONSISTENT}D + {1 if i == j else 0}D"
         for k in range(j):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.withColumn("logdet", 2 * sum((F.log(f"l{i}{i}") for i in range(P)), F.lit(0.0))).drop(*SUMS)
+            rest += f" - l{i}{k} * l{j}{k}"
+        steps.append(f"sqrt(greatest({rest}, 1e-12D)) AS l{i}{i}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    logs = " + ".join(f"ln(l{i}{i})" for i in range(P))
+    return of.selectExpr("*", *steps, f"2 * ({logs}) AS logdet").drop(*SUMS)  # each column may use the ones before it
 
 
 def distances(of: DataFrame) -> DataFrame:
     """Adds d, the squared distance, to rows with a cut vector and an estimate."""
-    y: list[Column] = []
-    for i in range(P):
-        name = f"__y{i}"
-        rest = F.col(K[i]) / F.lit(float(STEPS)) - F.col(f"m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * F.col(f"__y{j}")
-        of = of.withColumn(name, rest / F.col(f"l{i}{i}"))
-        y.append(F.col(name))
-    return of.withColumn("d", sum((v * v for v in y), F.lit(0.0))).drop(*(f"__y{i}" for i in range(P)))
-
-
-def concentrate(points: DataFrame, estimates: DataFrame) -> DataFrame:
+    names = [f"__y{i}" for i in range(P)]
+    steps = []
+    for i, name in enumerate(names):
+        rest = f"k{i} / {STEPS}D - m{i}" + "".join(f" - l{i}{j} * {names[j]}" for j in range(i))
+        steps.append(f"({rest}) / l{i}{i} AS {name}")
+    return of.selectExpr("*", *steps, f"{' + '.join(f'{c} * {c}' for c in names)} AS d").drop(*names)
+
+
+def concentrate(points: DataFrame, estimates: DataFrame, small: bool = False) -> DataFrame:
     """pool, start and the estimate of the documents nearest to each estimate: whole classes of distance until the share H is reached."""
-    near = distances(_with(points, estimates, ["pool"]))
+    near = distances(_with(points, estimates, ["pool"], small))
     level = F.floor(F.log2(F.col("d") + 2.0**-10) * CLASSES).cast("int")
-    by_class = near.groupBy("pool", "start", level.alias("level")).agg(*sums(F.col("w")))
+    by_class = near.groupBy("pool", "start", level.alias("level")).agg(*sums("w"))
     group = W.partitionBy("pool", "start")
     before = F.sum("n").over(group.orderBy("level")) - F.col("n")
     used = by_class.withColumn("__before", before).withColumn("__all", F.sum("n").over(group)).filter(F.col("__before") < H * F.col("__all"))
-    return estimate(used.groupBy("pool", "start").agg(*(F.sum(c).alias(c) for c in SUMS))).select("pool", "start", *ESTIMATE)
+    return estimate(used.groupBy("pool", "start").agg(*(F.expr(f"sum({c}) AS {c}") for c in SUMS))).select("pool", "start", *ESTIMATE)
 
 
 def _medians(values: DataFrame) -> DataFrame:
@@ -176,12 +189,12 @@ def _medians(values: DataFrame) -> DataFrame:
     return upto.filter(2 * F.col("__upto") >= F.col("__all")).groupBy("pool", "i").agg(F.min("k").alias("med"))
 
 
-def starts(points: DataFrame) -> DataFrame:
+def starts(points: DataFrame, small: bool = False) -> DataFrame:
     """pool, start and estimates: 0 of all documents, 1 of medians and absolute deviations, the others of DRAWN_SIZE different vectors by hash."""
-    whole = estimate(points.groupBy("pool").agg(*sums(F.col("w")))).withColumn("start", F.lit(0))
+    whole = estimate(points.groupBy("pool").agg(*sums("w"))).withColumn("start", F.lit(0))
     each = points.select("pool", "w", F.posexplode(F.array(*K)).alias("i", "k"))
     med = _medians(each)
-    off = _with(each, med, ["pool", "i"]).select("pool", "i", "w", F.abs(F.col("k") - F.col("med")).alias("k"))
+    off = _with(each, med, ["pool", "i"], small).select("pool", "i", "w", F.abs(F.col("k") - F.col("med")).alias("k"))
     both = med.withColumnRenamed("med", "mid").join(_medians(off), ["pool", "i"])
     wide = both.groupBy("pool").agg(*(F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for c in ("mid", "med") for i in range(P)))
     scale = {f"l{i}{i}": F.sqrt((1.4826 * F.col(f"med{i}") / STEPS) ** 2 + 1.0) for i in range(P)}
@@ -190,21 +203,21 @@ def starts(points: DataFrame) -> DataFrame:
     draws = F.explode(F.array(*(F.struct(F.lit(2 + j).alias("start"), F.xxhash64(F.lit(j), *K).alias("h")) for j in range(DRAWN))))
     drawn = points.select("pool", *K, draws.alias("x")).groupBy("pool", "x.start", F.pmod("x.h", F.lit(DRAWN_SIZE).cast("long")).alias("slot"))
     drawn = drawn.agg(F.min(F.struct("x.h", *K)).alias("least")).select("pool", "start", *(F.col(f"least.{c}").alias(c) for c in K))
-    few = estimate(drawn.groupBy("pool", "start").agg(*sums(F.lit(1).cast("long"))))
+    few = estimate(drawn.groupBy("pool", "start").agg(*sums("1L")))
     columns = ["pool", "start", *ESTIMATE]
     return whole.select(*columns).unionByName(robust.select(*columns)).unionByName(few.select(*columns))
 
 
-def determinants(points: DataFrame) -> DataFrame:
+def determinants(points: DataFrame, small: bool = False) -> DataFrame:
     """pool and the estimate of least determinant, of points (pool, k0.., w). Only counts of open starts reach the driver."""
-    now = materialize(starts(points).withColumn("logdet", F.lit(float("inf"))), "mcd")
+    now = materialize(starts(points, small).withColumn("logdet", F.lit(float("inf"))), "mcd")
+    left = now.count()
     done = None
     for step in range(MOST_STEPS):
-        new = concentrate(points, now)
-        old = now.select("pool", "start", *(F.col(c).alias(f"__{c}") for c in ESTIMATE))
-        settled = F.col("logdet") >= F.col("__logdet") - 1e-9
-        both = new.join(old, ["pool", "start"]).withColumn("settled", settled)
-        both = both.select("pool", "start", *(F.when(settled, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in ESTIMATE), "settled")
+        new = concentrate(points, now, small).coalesce(max(1, left // PAIRS))
+        old = now.selectExpr("pool", "start", *(f"{c} AS __{c}" for c in ESTIMATE))
+        both = new.join(old, ["pool", "start"]).withColumn("settled", F.expr("logdet >= __logdet - 1e-9D"))
+        both = both.selectExpr("pool", "start", *(f"if(settled, __{c}, {c}) AS {c}" for c in ESTIMATE), "settled")
         if step + 1 == TRIAL:
             rank = F.row_number().over(W.partitionBy("pool").orderBy("logdet", "start"))
             both = both.withColumn("__rank", rank).filter(F.col("__rank") <= BEST).drop("__rank")
@@ -212,7 +225,8 @@ def determinants(points: DataFrame) -> DataFrame:
         ended = both.filter("settled").drop("settled")
         done = ended if done is None else done.unionByName(ended)
         now = both.filter("not settled").drop("settled")
-        if now.isEmpty():
+        left = now.count()
+        if not left:
             break
     else:
         raise RuntimeError("the estimates did not settle")
@@ -253,11 +267,12 @@ def judge(docs: DataFrame, least_group: int = 50, least_pool: int = 20) -> DataF
     good = s.filter("not base_failed")
     cells = materialize(good.groupBy("l", "g", *K).agg(F.count("*").alias("w")), "cells")
     of = materialize(pools(cells, least_group, least_pool), "pools")
+    small = fits(of)
     in_use = of.select("pool").distinct()
     members = of.select("g", F.explode("members").alias("pool")).join(in_use, "pool", "left_semi")
-    points = materialize(_with(cells, members, ["g"]).groupBy("pool", *K).agg(F.sum("w").alias("w")), "points")
-    estimates = of.select("g", "pool").join(determinants(points), "pool", "left")
-    judged = distances(_with(good, estimates, ["g"]))
+    points = materialize(_with(cells, members, ["g"], small).groupBy("pool", *K).agg(F.sum("w").alias("w")), "points")
+    estimates = of.select("g", "pool").join(determinants(points, small), "pool", "left")
+    judged = distances(_with(good, estimates, ["g"], small))
     passed = judged.select(*columns, F.col("d").alias("distance"), (F.coalesce(F.col("d"), F.lit(0.0)) < CUTOFF).alias("kept"), "pool")
     failed = s.filter("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"), F.lit(None).cast("string").alias("pool"))
     return passed.unionByName(failed)
