@@ -141,15 +141,18 @@ def fits(of: DataFrame) -> bool:
     return (2 + DRAWN) * (groups * ESTIMATE_BYTES + names) <= BROADCAST_BYTES
 
 
-def sums(weight: str) -> list[Column]:
-    """What a covariance is made from, as integer sums; the formulas here are texts, one call of the session each."""
-    linear = [f"sum({weight} * k{i}) AS s{i}" for i in range(P)]
-    square = [f"sum({weight} * k{i} * k{j}) AS q{i}{j}" for i, j in LOWER]
-    return [F.expr(x) for x in (f"sum({weight}) AS n", *linear, *square)]
+def sums(weight: Column) -> list[Column]:
+    """What a covariance is made from, as integer sums."""
+    linear = [F.sum(weight * F.col(f"k{i}")).alias(f"s{i}") for i in range(P)]
+    square = [F.sum(weight * F.expr(f"k{i} * k{j}")).alias(f"q{i}{j}") for i, j in LOWER]
+    return [F.sum(weight).alias("n"), *linear, *square]
 
 
 def estimate(of: DataFrame) -> DataFrame:
-    """Adds means, the lower triangle of the covariance's Cholesky factor (in least standard deviations) and the log determinant to rows with SUMS."""
+    """Adds means, the lower triangle of the covariance's Cholesky factor (in least standard deviations) and the log determinant to rows with SUMS.
+
+    The formulas are SQL text: one call of the session for each column, not one for each operation.
+    """
     steps = [f"s{i} / double(n) / {STEPS} AS m{i}" for i in range(P)]
     for i, j in LOWER:
         rest = f"(q{i}{j} / double(n) / {STEPS**2} - m{i} * m{j}) * {CONSISTENT}D + {1 if i == j else 0}D"
@@ -174,7 +177,7 @@ def concentrate(points: DataFrame, estimates: DataFrame, small: bool = False) ->
     """pool, start and the estimate of the documents nearest to each estimate: whole classes of distance until the share H is reached."""
     near = distances(_with(points, estimates, ["pool"], small))
     level = F.floor(F.log2(F.col("d") + 2.0**-10) * CLASSES).cast("int")
-    by_class = near.groupBy("pool", "start", level.alias("level")).agg(*sums("w"))
+    by_class = near.groupBy("pool", "start", level.alias("level")).agg(*sums(F.col("w")))
     group = W.partitionBy("pool", "start")
     before = F.sum("n").over(group.orderBy("level")) - F.col("n")
     used = by_class.withColumn("__before", before).withColumn("__all", F.sum("n").over(group)).filter(F.col("__before") < H * F.col("__all"))
@@ -191,7 +194,7 @@ def _medians(values: DataFrame) -> DataFrame:
 
 def starts(points: DataFrame, small: bool = False) -> DataFrame:
     """pool, start and estimates: 0 of all documents, 1 of medians and absolute deviations, the others of DRAWN_SIZE different vectors by hash."""
-    whole = estimate(points.groupBy("pool").agg(*sums("w"))).withColumn("start", F.lit(0))
+    whole = estimate(points.groupBy("pool").agg(*sums(F.col("w")))).withColumn("start", F.lit(0))
     each = points.select("pool", "w", F.posexplode(F.array(*K)).alias("i", "k"))
     med = _medians(each)
     off = _with(each, med, ["pool", "i"], small).select("pool", "i", "w", F.abs(F.col("k") - F.col("med")).alias("k"))
@@ -203,7 +206,7 @@ def starts(points: DataFrame, small: bool = False) -> DataFrame:
     draws = F.explode(F.array(*(F.struct(F.lit(2 + j).alias("start"), F.xxhash64(F.lit(j), *K).alias("h")) for j in range(DRAWN))))
     drawn = points.select("pool", *K, draws.alias("x")).groupBy("pool", "x.start", F.pmod("x.h", F.lit(DRAWN_SIZE).cast("long")).alias("slot"))
     drawn = drawn.agg(F.min(F.struct("x.h", *K)).alias("least")).select("pool", "start", *(F.col(f"least.{c}").alias(c) for c in K))
-    few = estimate(drawn.groupBy("pool", "start").agg(*sums("1L")))
+    few = estimate(drawn.groupBy("pool", "start").agg(*sums(F.lit(1).cast("long"))))
     columns = ["pool", "start", *ESTIMATE]
     return whole.select(*columns).unionByName(robust.select(*columns)).unionByName(few.select(*columns))
 

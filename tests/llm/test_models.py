@@ -33,7 +33,7 @@ def test_outliers(table):
     text = lambda: " ".join(word() for _ in range(int(rng.integers(60, 200))))
     rows = [(i, text(), None if i % 2 else "en", "big") for i in range(300)]
     bad = [(1000 + i, " ".join(f"{word()}#$%&" for _ in range(100)), "en", "big") for i in range(30)]
-    lone = [(2000, "$$$ " * 60 + text(), "xx", "lone")]
+    lone = [(2000, " ".join(f"{word()}$$$" for _ in range(100)), "xx", "lone")]  # passes the base rules
     out = {r.doc_id: r for r in quality.judge(table(rows + bad + lone)).collect()}
     assert all(out[i].kept for i, *_ in rows) and not any(out[i].kept for i, *_ in bad)
     # A group of one is judged by all documents.
