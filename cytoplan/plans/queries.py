@@ -346,6 +346,11 @@ def u3_prefer_ambiguous(spark, d):
 _SMALL = """sz AS (SELECT cell, count(*) AS k FROM lab GROUP BY cell), thr AS (SELECT avg(k)::BIGINT AS t FROM sz)"""
 
 
+def _mean_reads(reads):
+    """The threshold of _SMALL: a half goes to the even number, as in the SQL's cast; 0 where there are no reads."""
+    return reads.groupBy("cell").count().agg(F.rint(F.avg("count")).cast("long")).first()[0] or 0
+
+
 @query(f"""WITH {base.SQL_LABELLED}, {base.SQL_VOTES}, {_SMALL},
 small AS (SELECT w.cell, label[1] AS gid, count(*)::DOUBLE AS n FROM won w JOIN sz USING (cell), thr WHERE k < t AND len(label) = 1 GROUP BY w.cell, label[1]),
 big AS (SELECT l.cell, label[1] AS gid, count(DISTINCT umi)::DOUBLE AS n FROM lab l JOIN sz USING (cell), thr WHERE k >= t AND len(label) = 1 GROUP BY l.cell, label[1])
@@ -588,8 +593,7 @@ SELECT s.cell, s.k AS n_reads, s.k < t AS tiny, false AS voted, coalesce(k1, 0)
 def k8_resolved_lists(spark, d):
     """Which cells were resolved in another way, and which have no counts."""
     reads = base.labelled(spark, d)
-    mean = reads.groupBy("cell").count().agg(F.round(F.avg("count")).cast("long")).first()[0]
-    found = quant.molecules(reads, "cr-like", mean)
+    found = quant.molecules(reads, "cr-like", _mean_reads(reads))
     return quant.resolved_lists(found, quant.counts_of(found, "cr-like"))
 
 

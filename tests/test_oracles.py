@@ -49,3 +49,17 @@ def test_partition_count_does_not_matter(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
     assert seen[0] == seen[1]
+
+
+@pytest.mark.parametrize("name", ["k8_resolved_lists"])
+@pytest.mark.parametrize("sizes", [(2, 3), (3, 4), (4, 5, 4, 5), ()])
+def test_a_mean_of_a_half_is_rounded_as_in_the_sql(spark, tmp_path, name, sizes):
+    """Cells of as many reads as the mean without its half: their reads share an identifier and have different genes."""
+    rows = [(cell, 4 * i, 1, 1, 1.0, "N", "O") for cell, n in enumerate(sizes) for i in range(n)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    df, other = QUERIES[name](spark, str(tmp_path)), c.sql(SQL[name])
+    at = [other.columns.index(x) for x in df.columns]
+    assert canonical(df.collect()) == canonical([tuple(r[i] for i in at) for r in other.fetchall()])
