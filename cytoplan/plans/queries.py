@@ -357,8 +357,7 @@ big AS (SELECT l.cell, label[1] AS gid, count(DISTINCT umi)::DOUBLE AS n FROM la
 SELECT * FROM small UNION ALL SELECT * FROM big""")
 def u5_small_cells(spark, d):
     reads = base.labelled(spark, d)
-    mean = reads.groupBy("cell").count().agg(F.round(F.avg("count")).cast("long")).first()[0]
-    return quant.quantify(reads, "trivial", mean)
+    return quant.quantify(reads, "trivial", _mean_reads(reads))
 
 
 _SLOT = f"""CASE WHEN x % 2 = 0 AND list_contains(label, x + 1) THEN {2 * SPLICED_GENES} + (x >> 1)

@@ -51,7 +51,7 @@ def test_partition_count_does_not_matter(spark, name):
     assert seen[0] == seen[1]
 
 
-@pytest.mark.parametrize("name", ["k8_resolved_lists"])
+@pytest.mark.parametrize("name", ["k8_resolved_lists", "u5_small_cells"])
 @pytest.mark.parametrize("sizes", [(2, 3), (3, 4), (4, 5, 4, 5), ()])
 def test_a_mean_of_a_half_is_rounded_as_in_the_sql(spark, tmp_path, name, sizes):
     """Cells of as many reads as the mean without its half: their reads share an identifier and have different genes."""
